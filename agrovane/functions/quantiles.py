@@ -11,21 +11,22 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrovane.functions.numeric import double_literal
+
 _SKETCH_ACCURACY = 10_000
 
 
 def _brackets(df: DataFrame, columns: list[str], probabilities: list[float], half_width: float) -> dict:
     """``(column, p) -> (count, low, high)``; one aggregate row, so its size depends on the columns only."""
     wanted = [v for p in probabilities for v in (max(0.0, p - half_width), min(1.0, p + half_width))]
-    aggregates = []
-    for c in columns:
-        aggregates += [
-            F.count(c).alias(f"n_{c}"),
-            F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, wanted)), F.lit(_SKETCH_ACCURACY)).alias(
-                f"q_{c}"
-            ),
-        ]
-    row = df.agg(*aggregates).first()
+    array = ", ".join(double_literal(w) for w in wanted)
+    row = df.selectExpr(
+        *[f"count(`{c}`) AS `n_{c}`" for c in columns],
+        *[
+            f"percentile_approx(CAST(`{c}` AS DOUBLE), array({array}), {_SKETCH_ACCURACY}) AS `q_{c}`"
+            for c in columns
+        ],
+    ).first()
     out = {}
     for c in columns:
         n, edges = row[f"n_{c}"], row[f"q_{c}"]
@@ -53,24 +54,15 @@ def exact_quantiles(
         return spark.createDataFrame([], "feature string, p double, value double")
     below, inside = [], []
     for (c, p), (n, low, high) in brackets.items():
-        value = F.col(c).cast("double")
-        below.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(p).alias("p"),
-                F.lit(n).cast("long").alias("n"),
-                F.count_if(value < F.lit(low)).alias("below"),
-            )
-        )
+        value, key = f"CAST(`{c}` AS DOUBLE)", f"'{c}' AS feature, {double_literal(p)} AS p"
+        below.append(f"struct({key}, {n}L AS n, count_if({value} < {double_literal(low)}) AS below)")
         inside.append(
-            F.when(
-                value.between(F.lit(low), F.lit(high)),
-                F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p"), value.alias("value")),
-            )
+            f"CASE WHEN {value} BETWEEN {double_literal(low)} AND {double_literal(high)} "
+            f"THEN struct({key}, {value} AS value) END"
         )
-    offsets = df.agg(F.array(*below).alias("b")).select(F.inline("b"))
+    offsets = df.selectExpr(f"array({', '.join(below)}) AS b").select(F.inline("b"))
     values = (
-        df.select(F.explode(F.array_compact(F.array(*inside))).alias("v"))
+        df.selectExpr(f"explode(array_compact(array({', '.join(inside)}))) AS v")
         .groupBy("v.feature", "v.p", "v.value")
         .agg(F.count(F.lit(1)).alias("times"))
     )

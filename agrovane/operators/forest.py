@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrovane.operators.names import attach_codes, resolve_names
-from agrovane.scale import small_side
+from agrovane.scale import materialize
 
 # Fixed values.
 CANOPY_THRESHOLD = 30
@@ -57,7 +57,7 @@ def typed_loss(long: DataFrame) -> DataFrame:
 
 def name_units(long: DataFrame, names: DataFrame) -> DataFrame:
     """Loss rows with department and municipality; rows of unnamed units are dropped."""
-    return typed_loss(long).join(small_side(names), ["adm1", "adm2"])
+    return typed_loss(long).join(names, ["adm1", "adm2"])
 
 
 def unnamed_units(long: DataFrame, names: DataFrame) -> DataFrame:
@@ -159,4 +159,5 @@ def deforestation_features(wide: DataFrame, primary_wide: DataFrame | None, zone
     loss = loss_long(wide)
     primary = None if primary_wide is None else loss_long(primary_wide, "primary_loss_ha", 2002)
     joined = with_primary(loss, primary)
-    return loss_features(attach_codes(joined, resolve_names(joined, zones)))
+    resolved = materialize(resolve_names(joined, zones), "resolved-names")
+    return loss_features(attach_codes(joined, resolved))

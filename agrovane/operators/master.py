@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.scale import small_side
 from agrovane.sources.schemas import KEY, SEP_COLUMNS, SPC_COLUMNS, SVE_COLUMNS
 
 
@@ -21,19 +20,17 @@ def master_features(
 ) -> DataFrame:
     """Climate by production (every month meets every crop of the zone), plus prices by month and zone attributes.
 
-    The fan-out is the widest step. The production side is broadcast when the probe shows it fits, so the climate rows
-    stay where they are; otherwise both sides shuffle on the zone and AQE splits a hot zone, which is allowed because
-    nothing after this join needs the zone partitioning.
+    Prices and zone attributes are joined first, while there is one row per zone and month; the fan-out over crops is
+    last, so nothing after it moves the wide rows again. No side is hinted: AQE broadcasts one whose shuffled size is
+    small and splits a hot zone otherwise.
     """
-    climate = climate.filter(F.col("codigo_municipio").isNotNull())
-    production = production.filter(F.col("cultivo").isNotNull())
-    joined = climate.join(small_side(production), "codigo_municipio")
-    monthly_prices = prices.withColumn("periodo", F.trunc("periodo", "month"))
-    joined = joined.join(small_side(monthly_prices), "periodo", "left")
+    joined = climate.filter(F.col("codigo_municipio").isNotNull()).join(
+        prices.withColumn("periodo", F.trunc("periodo", "month")), "periodo", "left"
+    )
     if socio is None:
-        for c in ("nbi_total", "poblacion_rural", "pct_rural"):
-            joined = joined.withColumn(c, F.lit(None).cast("double"))
+        joined = joined.withColumns({c: F.lit(None).cast("double") for c in SVE_COLUMNS[3:]})
     else:
-        joined = joined.join(small_side(socio), "codigo_municipio", "left")
+        joined = joined.join(socio, "codigo_municipio", "left")
+    joined = joined.join(production.filter(F.col("cultivo").isNotNull()), "codigo_municipio")
     joined = joined.withColumn("fase_fenologica", phenological_flag())
     return joined.select(*KEY, *SPC_COLUMNS, *SEP_COLUMNS, *SVE_COLUMNS)

@@ -91,7 +91,7 @@ def match_exact(
     tried = keyed.select("departamento", "municipio", F.explode(attempts).alias("t")).select(
         "departamento", "municipio", "t.*"
     )
-    hits = tried.join(small_side(dictionary.select("nombre", "codigo")), "nombre")
+    hits = tried.join(dictionary.select("nombre", "codigo"), "nombre")
     return (
         hits.groupBy("departamento", "municipio")
         .agg(F.min_by(F.struct("codigo", "via"), "paso").alias("h"))
@@ -189,7 +189,10 @@ def resolve_names(
 
 
 def attach_codes(facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Facts with their zone code. Names are resolved once per distinct spelling, never per row."""
+    """Facts with their zone code. Names are resolved once per distinct spelling, never per row.
+
+    ``resolved`` should be a stored table, because its size is probed.
+    """
     codes = resolved.filter(F.col("codigo_municipio").isNotNull()).select("departamento", "municipio", "codigo_municipio")
     return facts.join(small_side(codes), ["departamento", "municipio"], "left")
 

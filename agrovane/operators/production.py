@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrovane.functions.numeric import lenient_month, lenient_number
-from agrovane.scale import small_side
 from agrovane.sources.landing import resolve_column
 
 CROP_ZONE = ["cultivo", "codigo_municipio"]
@@ -62,7 +61,7 @@ def attach_calendar(stats: DataFrame, calendar: DataFrame | None) -> DataFrame:
         F.col("mes_siembra").cast("int").alias("mes_siembra"),
         F.col("mes_cosecha").cast("int").alias("mes_cosecha"),
     )
-    return stats.join(small_side(shaped), keys, "left")
+    return stats.join(shaped, keys, "left")
 
 
 def production_features(production: DataFrame, calendar: DataFrame | None = None) -> DataFrame:

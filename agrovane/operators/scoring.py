@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.functions.numeric import clip_unit, mean_of_present
+from agrovane.functions.numeric import clip_unit, double_literal, mean_of_present
 from agrovane.functions.quantiles import exact_quantiles
 from agrovane.sources.schemas import FEATURE_COLUMNS, KEY, SEP_COLUMNS, SPC_COLUMNS, SVE_COLUMNS
 
@@ -48,13 +48,14 @@ class RobustScaler:
         low, high = self.bounds.get(column, (0.0, 0.0))
         if high == low:
             return F.lit(0.0)
-        return clip_unit((F.col(column) - F.lit(low)) / F.lit(high - low))
+        scaled = f"(`{column}` - {double_literal(low)}) / {double_literal(high - low)}"
+        return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN greatest(0D, least(1D, {scaled})) END")
 
 
 def subindices(normalized: DataFrame) -> DataFrame:
     """Row means of the three feature groups."""
     groups = {"spc": SPC_COLUMNS, "sep": SEP_COLUMNS, "sve": SVE_COLUMNS}
-    return normalized.withColumns({name: mean_of_present([F.col(c) for c in cs]) for name, cs in groups.items()})
+    return normalized.withColumns({name: mean_of_present(cs) for name, cs in groups.items()})
 
 
 def composite(weights: dict[str, float] | None = None) -> Column:

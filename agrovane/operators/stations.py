@@ -106,12 +106,12 @@ MIN = Partial("minimo", F.min, F.min)
 
 
 def aggregate_by_zone(
-    observations: DataFrame, stations: DataFrame, period: Column, partials: list[Partial]
+    observations: DataFrame, stations: DataFrame, keys: dict[str, Column], partials: list[Partial]
 ) -> DataFrame:
-    """Partial aggregates per ``(zone, periodo)`` of all stations of the zone.
+    """Partial aggregates per zone and ``keys`` over all stations of the zone.
 
     With a broadcast station table the readings are aggregated on the map side right after the lookup: one shuffle of
-    zone-period rows. Otherwise they are first folded per ``(station, period)``, so that neither the join nor a station
+    zone-period rows. Otherwise they are first folded per station and keys, so that neither the join nor a station
     that sends most of the readings moves raw rows.
     """
     value = F.col("valorobservado").cast("double")
@@ -119,17 +119,14 @@ def aggregate_by_zone(
         station_key(F.col("codigoestacion")).alias("estacion"), "codigo_municipio"
     )
     readings = observations.filter(F.col("fechaobservacion").isNotNull() & value.isNotNull()).select(
-        station_key(F.col("codigoestacion")).alias("estacion"), period.alias("periodo"), value.alias("valor")
+        station_key(F.col("codigoestacion")).alias("estacion"),
+        *[column.alias(name) for name, column in keys.items()],
+        value.alias("valor"),
     )
     computed = [p.compute(F.col("valor")).alias(p.name) for p in partials]
-    if _broadcasts(stations):
+    if fits_broadcast(stations):
         joined = readings.join(F.broadcast(known), "estacion")
-        return joined.groupBy("codigo_municipio", "periodo").agg(*computed)
-    folded = readings.groupBy("estacion", "periodo").agg(*computed)
+        return joined.groupBy("codigo_municipio", *keys).agg(*computed)
+    folded = readings.groupBy("estacion", *keys).agg(*computed)
     merged = [p.merge(F.col(p.name)).alias(p.name) for p in partials]
-    return folded.join(known, "estacion").groupBy("codigo_municipio", "periodo").agg(*merged)
-
-
-def _broadcasts(stations: DataFrame) -> bool:
-    """Probe the station table itself, so that six sources share one probe."""
-    return fits_broadcast(stations)
+    return folded.join(known, "estacion").groupBy("codigo_municipio", *keys).agg(*merged)

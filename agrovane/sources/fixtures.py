@@ -50,7 +50,7 @@ class Fixtures:
             "precipitacion": F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0),
             "temperatura": F.col("l_quantity"),
             "humedad": F.col("l_tax") * 1000,
-            "presion": F.col("l_extendedprice") / 100,
+            "presion": F.col("l_extendedprice") / 97,
             "tambiente": F.col("l_quantity") / 2,
             "viento": F.col("l_discount") * 100,
         }
@@ -133,8 +133,8 @@ class Fixtures:
         return (
             self.table("orders")
             .groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m"))
-            .agg(F.bround(F.avg("o_totalprice"), 2).alias("v"))
-            .select(F.col("m").cast("string").alias("Fecha"), F.col("v").cast("decimal(14,2)").cast("string").alias("Indice"))
+            .agg((F.avg("o_totalprice") / 97).alias("v"))
+            .select(F.col("m").cast("string").alias("Fecha"), F.col("v").cast("string").alias("Indice"))
         )
 
     def socio(self) -> DataFrame:
@@ -144,14 +144,14 @@ class Fixtures:
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .groupBy("c_nationkey", "n_name")
             .agg(
-                F.bround(F.avg("c_acctbal") / 100, 3).alias("nbi"),
+                (F.avg("c_acctbal") / 97).alias("nbi"),
                 F.count_if(F.col("c_mktsegment").isin("FURNITURE", "MACHINERY")).alias("rural"),
                 F.count(F.lit(1)).alias("total"),
             )
             .select(
                 F.concat(F.lit(" "), F.col("c_nationkey").cast("string")).alias("Cod_DANE"),
                 F.concat(F.lit(" "), F.lower("n_name")).alias("municipio"),
-                F.col("nbi").cast("decimal(12,3)").cast("string").alias("NBI"),
+                F.col("nbi").cast("string").alias("NBI"),
                 F.col("rural").cast("string").alias("resto"),
                 F.col("total").cast("string").alias("pob_total"),
             )
@@ -162,7 +162,7 @@ class Fixtures:
         return (
             self.table("customer")
             .groupBy("c_nationkey", "c_mktsegment")
-            .agg(F.bround(F.avg("c_acctbal") / 100, 3).alias("v"))
+            .agg((F.avg("c_acctbal") / 97).alias("v"))
             .select(
                 F.lit("0").alias("cod_depto"),
                 F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.concat(F.lit(" "), F.col("c_nationkey").cast("string"))).alias(
@@ -170,7 +170,7 @@ class Fixtures:
                 ),
                 F.col("c_mktsegment").alias("nom_mun"),
                 F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("n.d."))
-                .otherwise(F.col("v").cast("decimal(12,3)").cast("string"))
+                .otherwise(F.col("v").cast("string"))
                 .alias("nbi_total"),
             )
         )
@@ -273,9 +273,9 @@ class Fixtures:
         return self.table("orders").select(
             F.col("o_orderkey").cast("string").alias("Codigo_Estacion"),
             F.when(F.col("o_orderstatus") == "P", F.lit("?"))
-            .otherwise((F.col("o_orderkey") % 1000 / 10).cast("decimal(8,2)").cast("string"))
+            .otherwise((F.col("o_orderkey") % 1000 / 10).cast("string"))
             .alias("Latitud_Norte"),
-            (F.col("o_totalprice") / 5000).cast("decimal(9,4)").cast("string").alias("Longitud_Este"),
+            (F.col("o_totalprice") / 5000).cast("string").alias("Longitud_Este"),
         )
 
     def zone_features(self) -> DataFrame:
