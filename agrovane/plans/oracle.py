@@ -527,12 +527,13 @@ FROM (SELECT *, n // 5 AS q, n % 5 AS e FROM (
          count(*) OVER (PARTITION BY cultivo) AS n FROM train_full
   UNION ALL SELECT {KEYS}, 'global', row_number() OVER (ORDER BY codigo_municipio, cultivo, periodo) - 1, count(*) OVER ()
   FROM train_full))"""
+CTES["hold_cut"] = """
+SELECT periodo AS corte FROM (SELECT periodo, row_number() OVER (ORDER BY periodo DESC) AS k, count(*) OVER () AS n
+                              FROM (SELECT DISTINCT periodo FROM train_full))
+WHERE k = greatest(1, CAST(round_even(n * 0.2, 0) AS INTEGER))"""
 _SQL["temporal_split"] = """
-WITH p AS (SELECT DISTINCT periodo FROM train_full),
-c AS (SELECT periodo AS corte FROM p QUALIFY row_number() OVER (ORDER BY periodo DESC)
-        = greatest(1, CAST(round_even((SELECT count(*) FROM p) * 0.2, 0) AS INTEGER)))
 SELECT CASE WHEN periodo < corte THEN 'train' ELSE 'test' END AS lado, count(*) AS filas, min(periodo) AS desde,
-       max(periodo) AS hasta, corte AS periodo_corte FROM train_full, c GROUP BY 1, corte"""
+       max(periodo) AS hasta, corte AS periodo_corte FROM train_full, hold_cut GROUP BY 1, corte"""
 _SQL["model_metrics"] = """
 SELECT coalesce(cultivo, 'todos') AS modelo,
        round_even(1 - sum((target - prediction) ** 2) / nullif(var_pop(target) * count(*), 0), 4) AS r2,
