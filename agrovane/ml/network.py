@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.ml.supervised import Standardizer
+from agrovane.ml.supervised import Standardizer, sized_for_training
 from agrovane.scale import materialize
 from agrovane.sources.schemas import KEY, PREDICTOR_COLUMNS
 
@@ -145,8 +145,9 @@ class YieldNetwork:
         """
         scaler = Standardizer.fit(supervised, PREDICTOR_COLUMNS)
         held = F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(10_000)) < VALIDATION * 10_000
+        scaled = scaler.transform(supervised).withColumn("held", held)
         rows = materialize(
-            scaler.transform(supervised).select(*PREDICTOR_COLUMNS, "target", held.alias("held")), "network-rows"
+            sized_for_training(scaled, scaled.count()).select(*PREDICTOR_COLUMNS, "target", "held"), "network-rows"
         )
         inputs = len(PREDICTOR_COLUMNS)
         weights = _initial(inputs, seed)

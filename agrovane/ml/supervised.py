@@ -14,6 +14,7 @@ ZONE_CROP = ["codigo_municipio", "cultivo"]
 HOLD_OUT = 0.2
 MIN_ROWS_PER_SIDE = 20
 FOLDS = 5
+ROWS_PER_TASK = 8_000
 
 
 def next_target(master: DataFrame, yield_col: str = "rendimiento_promedio") -> DataFrame:
@@ -32,6 +33,15 @@ def supervised_set(
     return rows.select(*KEY, *predictors, F.col("target").cast("double").alias("target"))
 
 
+def sized_for_training(df: DataFrame, rows: int) -> DataFrame:
+    """Partitions by row count, as fitting is bound by CPU: few for a small crop, up to four per core for a large one.
+
+    Every boosting step schedules one task per partition, so a small crop must not inherit the splits of the table.
+    """
+    most = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(most, -(-rows // ROWS_PER_TASK))), *KEY)
+
+
 @dataclass(frozen=True)
 class Standardizer:
     """Zero mean and unit population deviation per column; a constant column becomes 0."""

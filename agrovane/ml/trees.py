@@ -13,8 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.ml.supervised import FOLDS, contiguous_folds
-from agrovane.scale import small_side
+from agrovane.ml.supervised import FOLDS, contiguous_folds, sized_for_training
+from agrovane.scale import materialize, small_side
 from agrovane.sources.schemas import KEY, PREDICTOR_COLUMNS
 
 # Fixed values.
@@ -48,6 +48,9 @@ def random_forest(trees: int = TREES) -> RandomForestRegressor:
         numTrees=trees,
         maxDepth=12,
         minInstancesPerNode=5,
+        featureSubsetStrategy="all",
+        # Room for the statistics of more nodes per pass: fewer passes over the rows.
+        maxMemoryInMB=1024,
         seed=SEED,
     )
 
@@ -56,26 +59,27 @@ def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=PREDICTOR_COLUMNS, outputCol="features").transform(df)
 
 
-def crops_with_own_model(supervised: DataFrame, minimum: int = MIN_ROWS_PER_CROP) -> list[str]:
-    """Crops with enough rows for a model of their own (a list as long as the crop vocabulary)."""
-    counts = supervised.groupBy("cultivo").agg(F.count(F.lit(1)).alias("n"))
-    return sorted(r["cultivo"] for r in counts.filter(F.col("n") >= minimum).collect())
+def crop_counts(supervised: DataFrame) -> dict[str, int]:
+    """Rows per crop (as long as the crop vocabulary)."""
+    counts = supervised.groupBy("cultivo").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["cultivo"]: r["n"] for r in counts}
 
 
-def fit_models(supervised: DataFrame, estimator, scope: str = "crop", minimum: int = MIN_ROWS_PER_CROP, parallelism: int = 4) -> dict:
+def fit_models(
+    supervised: DataFrame, estimator, scope: str = "crop", minimum: int = MIN_ROWS_PER_CROP, parallelism: int = 4
+) -> dict:
     """``crop -> model`` plus the global model under ``*``.
 
     ``scope="crop"`` fits one distributed model per crop with at least ``minimum`` rows and the global model once for
     the others (only if there are others); ``scope="global"`` fits one model for all. Every fit is a Spark job over
     all executors, so a crop with most of the rows is no problem; ``parallelism`` fits overlap. Pass a stored table.
     """
-    assembled = assemble(supervised)
-    if scope == "global":
-        return {GLOBAL: estimator.fit(assembled)}
-    own = crops_with_own_model(supervised, minimum)
-    jobs = {crop: assembled.filter(F.col("cultivo") == crop) for crop in own}
-    if supervised.filter(~F.col("cultivo").isin(own)).limit(1).count():
-        jobs[GLOBAL] = assembled
+    assembled = assemble(supervised).select(*KEY, "features", "target")
+    counts = crop_counts(supervised)
+    own = {crop: n for crop, n in counts.items() if n >= minimum} if scope == "crop" else {}
+    jobs = {crop: sized_for_training(assembled.filter(F.col("cultivo") == crop), n) for crop, n in own.items()}
+    if len(own) < len(counts):
+        jobs[GLOBAL] = sized_for_training(assembled, sum(counts.values()))
     with ThreadPoolExecutor(parallelism) as pool:
         fitted = pool.map(lambda item: (item[0], estimator.copy().fit(item[1])), jobs.items())
         return dict(fitted)
@@ -165,8 +169,9 @@ def driver_rows(supervised: DataFrame, models: dict) -> DataFrame:
 
 
 def cross_validated_r2(supervised: DataFrame, estimator, folds: int = FOLDS) -> float:
-    """Mean R² over contiguous folds."""
-    folded = contiguous_folds(assemble(supervised), by_crop=False, folds=folds)
+    """Mean R² over contiguous folds. The folded rows are stored, as every fold reads them."""
+    placed = contiguous_folds(supervised, by_crop=False, folds=folds)
+    folded = assemble(materialize(sized_for_training(placed, supervised.count()), "folds"))
     validator = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=ParamGridBuilder().build(),
