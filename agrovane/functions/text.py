@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,17 @@ def composite_zone_code(department: Column, municipality: Column) -> Column:
     return F.concat(zfill(F.trim(department), 2), zfill(F.trim(municipality), 3))
 
 
-def station_key(column: Column) -> Column:
-    """Canonical station key: text, trimmed, without leading zeros (CSV landing loses them, JSON landing keeps them)."""
-    return F.regexp_replace(F.trim(column.cast("string")), "^0+(?=.)", "")
+def station_key(df: DataFrame, name: str = "codigoestacion") -> Column:
+    """Canonical station key: text, trimmed, without leading zeros.
+
+    CSV landing infers integers and so loses the zeros that JSON landing keeps; an integer needs only the cast.
+    """
+    column = df[name]
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return column.cast("string")
+    text = F.trim(column.cast("string"))
+    stripped = F.ltrim(text, F.lit("0"))
+    return F.when((stripped == "") & (text != ""), "0").otherwise(stripped)
 
 
 @F.pandas_udf(T.StringType())

@@ -66,24 +66,17 @@ def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*KEY, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
 
 
-def _model_column(scope: str, counts: DataFrame | None):
-    return F.lit(GLOBAL) if scope == "global" else F.when(F.col("_n") >= MIN_ROWS_PER_CROP, F.col("cultivo")).otherwise(GLOBAL)
-
-
 def _training_rows(rows: DataFrame, scope: str) -> DataFrame:
-    """Rows with ``modelo`` and the model's row count ``_n``. In the group scope every row also trains the global model."""
-    total = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("modelo", F.lit(GLOBAL))
-    everywhere = rows.withColumn("modelo", F.lit(GLOBAL)).join(F.broadcast(total), "modelo")
+    """Rows with ``modelo`` and the model's row count ``_n``. Crops that are too small train the global model on all rows."""
     if scope == "global":
-        return everywhere
+        return rows.withColumns({"modelo": F.lit(GLOBAL), "_n": F.lit(rows.count())})
     per_crop = rows.groupBy("cultivo").agg(F.count(F.lit(1)).alias("_n"))
-    small = per_crop.filter(F.col("_n") < MIN_ROWS_PER_CROP)
     own = rows.join(small_side(per_crop.filter(F.col("_n") >= MIN_ROWS_PER_CROP)), "cultivo").withColumn(
         "modelo", F.col("cultivo")
     )
-    if small.limit(1).count() == 0:
+    if per_crop.filter(F.col("_n") < MIN_ROWS_PER_CROP).limit(1).count() == 0:
         return own
-    return own.unionByName(everywhere)
+    return own.unionByName(_training_rows(rows, "global"))
 
 
 def fit_forest(
@@ -96,24 +89,26 @@ def fit_forest(
 ) -> DataFrame:
     """Node table of the forest (or of one forest per crop).
 
-    Each tree samples the rows with the smallest hash of (key, tree): the same seed gives the same forest on any
-    cluster. A threshold on the hash keeps about twice the wanted rows on the map side before they are ranked.
+    Each tree samples the rows with the smallest hash of (row, tree): the same seed gives the same forest on any
+    cluster. A threshold on the hash keeps about twice the wanted rows on the map side before they are ranked, so a
+    tree never sees more than a few hundred candidates.
     ``scope="group"`` trains a crop with at least 30 rows on its own rows; ``global`` trains on all rows.
     """
     columns = columns or FEATURE_COLUMNS
+    wanted = 2 * sample + 64
     training = _training_rows(_filled(df, columns), scope)
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY, *columns), 11)
-    keep = (2 * sample + 64) / F.col("_n")
-    # One hash per row; a cheap multiplicative mix per tree decides which trees want the row.
-    chosen = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.xxhash64(unit, t), 11).alias("h")),
-        ),
-        lambda s: s["h"] < keep * F.lit(float(2**53)),
+    # All trees draw from one hash-chosen pool, so a large table costs one hash per row; a small one is its own pool.
+    share = F.least(F.lit(1.0), F.lit(float(trees * wanted)) / F.col("_n"))
+    pool = training.withColumn("_u", unit).filter(F.col("_u") < share * float(2**53)).withColumn(
+        "_keep", F.lit(float(wanted)) / (F.col("_n") * share) * float(2**53)
     )
-    drawn = training.withColumn("s", F.explode(chosen)).select("modelo", "s.tree", "s.h", *KEY, *columns)
-    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY, *columns)
+    trees_of_row = (
+        f"filter(transform(sequence(0, {trees - 1}), t -> struct(t AS tree, shiftrightunsigned(xxhash64(_u, t), 11) AS h)), "
+        "s -> s.h < _keep)"
+    )
+    drawn = pool.select("modelo", *KEY, *columns, F.expr(f"inline({trees_of_row})"))
+    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY)
     sampled = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +175,9 @@ def raw_scores(df: DataFrame, nodes: DataFrame, columns: list[str] | None = None
         return rows.withColumn("raw", score(*columns)).withColumn("modelo", F.lit(GLOBAL)).select(*KEY, "modelo", "raw")
 
     per_crop = rows.groupBy("cultivo").agg(F.count(F.lit(1)).alias("_n"))
-    assigned = rows.join(small_side(per_crop), "cultivo").withColumn("modelo", _model_column(scope, per_crop))
+    assigned = rows.join(small_side(per_crop), "cultivo").withColumn(
+        "modelo", F.when(F.col("_n") >= MIN_ROWS_PER_CROP, F.col("cultivo")).otherwise(GLOBAL)
+    )
     per_model = assigned.groupBy("modelo").agg(
         F.ceil(F.count(F.lit(1)) / ROWS_PER_CHUNK).cast("int").alias("chunks")
     )

@@ -211,4 +211,5 @@ def network_interval(predicted: DataFrame) -> DataFrame:
 
 
 def predict(supervised: DataFrame, network: YieldNetwork) -> DataFrame:
-    return network_interval(network.transform(supervised))
+    """Predictions with interval; scored once and stored, as the deviation of all of them comes first."""
+    return network_interval(materialize(network.transform(supervised).select(*KEY, "prediction"), "network-scores"))

@@ -143,7 +143,8 @@ def predict(supervised: DataFrame, models: dict) -> DataFrame:
     parts = []
     for _, model, rows in model_rows(supervised, models):
         if isinstance(model, GBTRegressionModel):
-            scored = boosted_interval(model.transform(rows))
+            # Stored, so that the spread per crop does not score the rows again.
+            scored = boosted_interval(materialize(model.transform(rows).select(*KEY, "prediction"), "tree-scores"))
         else:
             scored = with_interval(_with_forest_spread(model, rows))
         parts.append(

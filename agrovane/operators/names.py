@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrovane.functions.text import normalize_name
-from agrovane.scale import small_side
+from agrovane.scale import materialize, small_side
 
 # Spellings that a bare lookup misses and the name to look up instead.
 NAME_ALIASES = {
@@ -168,16 +168,22 @@ def match_fuzzy(
 def resolve_names(
     names: DataFrame, zones: DataFrame, prefer_department: bool = False, alphabet: str = "spanish"
 ) -> DataFrame:
-    """``(departamento, municipio, codigo_municipio, via)`` for every distinct name; NULL code if nothing matches."""
-    distinct = names.select("departamento", "municipio").distinct()
-    dictionary = name_dictionary(zones, alphabet)
-    exact = match_exact(distinct, dictionary, prefer_department, alphabet)
-    missing = distinct.join(
-        exact.select("departamento", "municipio"),
-        distinct["departamento"].eqNullSafe(exact["departamento"])
-        & distinct["municipio"].eqNullSafe(exact["municipio"]),
-        "left_anti",
-    ).withColumn("clave", normalize_name(F.col("municipio"), alphabet))
+    """``(departamento, municipio, codigo_municipio, via)`` for every distinct name; NULL code if nothing matches.
+
+    The facts are read once, for their distinct names; the name-level tables that several steps read are stored.
+    """
+    distinct = materialize(names.select("departamento", "municipio").distinct(), "names")
+    dictionary = materialize(name_dictionary(zones, alphabet), "name-dictionary")
+    exact = materialize(match_exact(distinct, dictionary, prefer_department, alphabet), "names-exact")
+    missing = materialize(
+        distinct.join(
+            exact.select("departamento", "municipio"),
+            distinct["departamento"].eqNullSafe(exact["departamento"])
+            & distinct["municipio"].eqNullSafe(exact["municipio"]),
+            "left_anti",
+        ).withColumn("clave", normalize_name(F.col("municipio"), alphabet)),
+        "names-missing",
+    )
     fuzzy = match_fuzzy(missing, dictionary.filter("bare")).join(dictionary.select("nombre", "codigo"), "nombre")
     rest = missing.join(fuzzy, "clave", "left").select(
         "departamento",

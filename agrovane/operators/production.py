@@ -37,15 +37,11 @@ def yield_stats(production: DataFrame) -> DataFrame:
 def crop_share(stats: DataFrame) -> DataFrame:
     """Share of each zone in the national area of the crop; NULL if the crop has no area.
 
-    Totals are grouped and joined back rather than taken over a window, so a crop that fills most of the table is not
-    gathered in one task.
+    ``stats`` has one row per crop and zone, so the window of a crop holds at most one row per zone; a grouped total
+    joined back would aggregate the production facts a second time.
     """
-    totals = stats.groupBy("cultivo").agg(F.coalesce(F.sum("area_sembrada"), F.lit(0.0)).alias("_total"))
-    return (
-        stats.join(totals, "cultivo")
-        .withColumn("participacion_municipal", F.col("area_sembrada") / F.nullif("_total", F.lit(0.0)))
-        .drop("_total")
-    )
+    total = F.coalesce(F.sum("area_sembrada").over(Window.partitionBy("cultivo")), F.lit(0.0))
+    return stats.withColumn("participacion_municipal", F.col("area_sembrada") / F.nullif(total, F.lit(0.0)))
 
 
 def attach_calendar(stats: DataFrame, calendar: DataFrame | None) -> DataFrame:

@@ -81,11 +81,11 @@ def stations_to_zones(points: DataFrame, zones: DataFrame, cell: float = 0.25) -
 def attach_zone(observations: DataFrame, stations: DataFrame) -> DataFrame:
     """Observations with their zone; rows without date, value or zone are dropped."""
     known = stations.filter(F.col("codigo_municipio").isNotNull()).select(
-        station_key(F.col("codigoestacion")).alias("estacion"), "codigo_municipio", "nombre_municipio"
+        station_key(stations).alias("estacion"), "codigo_municipio", "nombre_municipio"
     )
     return (
         observations.filter(F.col("fechaobservacion").isNotNull() & F.col("valorobservado").isNotNull())
-        .withColumn("estacion", station_key(F.col("codigoestacion")))
+        .withColumn("estacion", station_key(observations))
         .join(small_side(known), "estacion")
         .drop("estacion")
     )
@@ -116,10 +116,10 @@ def aggregate_by_zone(
     """
     value = F.col("valorobservado").cast("double")
     known = stations.filter(F.col("codigo_municipio").isNotNull()).select(
-        station_key(F.col("codigoestacion")).alias("estacion"), "codigo_municipio"
+        station_key(stations).alias("estacion"), "codigo_municipio"
     )
     readings = observations.filter(F.col("fechaobservacion").isNotNull() & value.isNotNull()).select(
-        station_key(F.col("codigoestacion")).alias("estacion"),
+        station_key(observations).alias("estacion"),
         *[column.alias(name) for name, column in keys.items()],
         value.alias("valor"),
     )

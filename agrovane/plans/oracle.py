@@ -70,7 +70,7 @@ _OBSERVATIONS = {
 for _kind, (_value, _span) in _OBSERVATIONS.items():
     _where = "" if _span is None else f"WHERE l_shipdate BETWEEN TIMESTAMP '{_span[0]}' AND TIMESTAMP '{_span[1]}'"
     CTES[f"obs_{_kind}"] = f"""
-SELECT codigo_municipio, nombre_municipio, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS estacion,
+SELECT codigo_municipio, nombre_municipio, l_suppkey AS estacion,
        CAST(l_shipdate AS DATE) AS fecha, CAST(date_trunc('month', l_shipdate) AS DATE) AS periodo, {_value} AS valor
 FROM lineitem JOIN fx_stations ON CAST(l_suppkey AS VARCHAR) = codigoestacion {_where}"""
 
@@ -397,7 +397,7 @@ _SQL["zone_code"] = f"SELECT codigo_municipio, {r('nbi_total')} FROM fx_nbi WHER
 _SQL["rural_share"] = f"""
 SELECT codigo_municipio, nombre_municipio, {r("nbi_total")}, poblacion_rural, poblacion_total, pct_rural FROM fx_socio_share"""
 _SQL["source_cutoff"] = f"""
-SELECT lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS codigoestacion, count(*) AS filas, {r("avg(l_quantity)", "media")}
+SELECT l_suppkey AS codigoestacion, count(*) AS filas, {r("avg(l_quantity)", "media")}
 FROM lineitem WHERE l_shipdate >= DATE '2001-12-31' - 730 GROUP BY 1"""
 _SQL["newest_readings"] = f"""
 SELECT estacion AS codigoestacion, fecha, {r("valor", "valorobservado")} FROM obs_viento

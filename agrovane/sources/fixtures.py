@@ -36,7 +36,7 @@ class Fixtures:
                 .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
                 .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
                 .select(
-                    F.col("s_suppkey").cast("string").alias("codigoestacion"),
+                    F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("codigoestacion"),
                     zone("s_nationkey").alias("codigo_municipio"),
                     F.col("n_name").alias("nombre_municipio"),
                     F.lpad(F.col("r_regionkey").cast("string"), 2, "0").alias("codigo_departamento"),
@@ -59,7 +59,7 @@ class Fixtures:
             first, last = OBSERVATION_RANGES[kind]
             df = df.filter(F.col("l_shipdate").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
         return df.select(
-            F.lpad(F.col("l_suppkey").cast("string"), 10, "0").alias("codigoestacion"),
+            F.col("l_suppkey").alias("codigoestacion"),
             F.col("l_shipdate").alias("fechaobservacion"),
             values[kind].alias("valorobservado"),
         )

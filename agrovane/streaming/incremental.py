@@ -37,13 +37,13 @@ def daily_totals(stream: DataFrame, stations: DataFrame, delay: str = WATERMARK)
     Over the same rows the closed days equal the batch result.
     """
     known = stations.filter(F.col("codigo_municipio").isNotNull()).select(
-        station_key(F.col("codigoestacion")).alias("estacion"), "codigo_municipio"
+        station_key(stations).alias("estacion"), "codigo_municipio"
     )
     return (
         stream.filter(F.col("fechaobservacion").isNotNull() & F.col("valorobservado").isNotNull())
         .withColumn("fechaobservacion", F.col("fechaobservacion").cast("timestamp"))
         .withWatermark("fechaobservacion", delay)
-        .withColumn("estacion", station_key(F.col("codigoestacion")))
+        .withColumn("estacion", station_key(stream))
         .join(small_side(known), "estacion")
         .groupBy(F.window("fechaobservacion", "1 day").alias("w"), "codigo_municipio")
         .agg(F.sum("valorobservado").alias("precip_dia"))

@@ -13,16 +13,17 @@ def one(df):
 
 
 def test_zone_and_station_keys(spark):
-    df = spark.createDataFrame([(" 5 ", "0007", "12", "1234567")], "a string, b string, c string, d string")
+    df = spark.createDataFrame([(" 5 ", "0007", "12", "1234567", "000", 70)], "a string, b string, c string, d string, z string, i int")
     row = df.select(
         text.zone_code(F.col("a")),
-        text.station_key(F.col("b")),
+        text.station_key(df, "b"),
         text.composite_zone_code(F.col("a"), F.col("c")),
         text.zfill(F.col("d"), 5),
         text.zone_code(F.col("d")),
-        text.station_key(F.lit("000")),
+        text.station_key(df, "z"),
+        text.station_key(df, "i"),
     ).first()
-    assert tuple(row) == ("00005", "7", "05012", "1234567", "12345", "0")
+    assert tuple(row) == ("00005", "7", "05012", "1234567", "12345", "0", "70")
 
 
 @pytest.mark.parametrize("alphabet", ["spanish", "unicode"])
