@@ -97,7 +97,9 @@ def fit_forest(
     columns = columns or FEATURE_COLUMNS
     wanted = 2 * sample + 64
     training = _training_rows(_filled(df, columns), scope)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY, *columns), 11)
+    # Only key columns: a filter on an expression over many computed columns would make Catalyst derive a constraint
+    # for every combination of them.
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY), 11)
     # All trees draw from one hash-chosen pool, so a large table costs one hash per row; a small one is its own pool.
     share = F.least(F.lit(1.0), F.lit(float(trees * wanted)) / F.col("_n"))
     pool = training.withColumn("_u", unit).filter(F.col("_u") < share * float(2**53)).withColumn(
@@ -108,7 +110,7 @@ def fit_forest(
         "s -> s.h < _keep)"
     )
     drawn = pool.select("modelo", *KEY, *columns, F.expr(f"inline({trees_of_row})"))
-    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY)
+    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY, *columns)
     sampled = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +184,7 @@ def raw_scores(df: DataFrame, nodes: DataFrame, columns: list[str] | None = None
         F.ceil(F.count(F.lit(1)) / ROWS_PER_CHUNK).cast("int").alias("chunks")
     )
     chunked = assigned.join(small_side(per_model), "modelo").withColumn(
-        "chunk", F.pmod(F.xxhash64(*KEY, *columns), F.col("chunks")).cast("int")
+        "chunk", F.pmod(F.xxhash64(*KEY), F.col("chunks")).cast("int")
     )
     copies = nodes.join(small_side(per_model), "modelo").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
