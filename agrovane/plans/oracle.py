@@ -9,7 +9,7 @@ import re
 
 from agrovane.operators.agents import AGENTS, MESSAGES
 from agrovane.operators.names import DEPARTMENT_FALLBACKS, NAME_ALIASES
-from agrovane.plans.queries import DIGITS
+from agrovane.plans.queries import DIGITS, UNIT_DIGITS
 from agrovane.sources.fixtures import FIXTURE_PLACES, FIXTURE_SPELLINGS
 from agrovane.sources.schemas import FEATURE_COLUMNS, PREDICTOR_COLUMNS, SEP_COLUMNS, SPC_COLUMNS, SVE_COLUMNS
 
@@ -508,9 +508,9 @@ SELECT {KEYS}, {", ".join(_MASTER_INTS)}, {rs([c for c in FEATURE_COLUMNS if c n
 _SQL["normalize_bounds"] = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round({c}_lo, {DIGITS}) AS p1, round({c}_hi, {DIGITS}) AS p99 FROM bounds_row" for c in FEATURE_COLUMNS
 )
-_SQL["normalized_features"] = f"SELECT {KEYS}, {rs(FEATURE_COLUMNS)} FROM normal_full"
-_SQL["subindices"] = f"SELECT {KEYS}, {rs(['spc', 'sep', 'sve'])} FROM sub_full"
-_SQL["risk_scores"] = f"SELECT {KEYS}, ira_nivel, {rs(['spc', 'sep', 'sve', 'ira_score'])} FROM score_full"
+_SQL["normalized_features"] = f"SELECT {KEYS}, {rs(FEATURE_COLUMNS, UNIT_DIGITS)} FROM normal_full"
+_SQL["subindices"] = f"SELECT {KEYS}, {rs(['spc', 'sep', 'sve'], UNIT_DIGITS)} FROM sub_full"
+_SQL["risk_scores"] = f"SELECT {KEYS}, ira_nivel, {rs(['spc', 'sep', 'sve', 'ira_score'], UNIT_DIGITS)} FROM score_full"
 _SQL["level_distribution"] = "SELECT ira_nivel, count(*) AS filas FROM score_full GROUP BY 1"
 _SQL["next_target"] = f"""
 SELECT {KEYS}, {r("area_sembrada")}, {r("coalesce(humedad_media_30d, 0)", "humedad_media_30d")}, {r("target")}

@@ -24,6 +24,7 @@ from agrovane.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DIGITS = 5
+UNIT_DIGITS = 7  # for values in [0, 1], where decimal ties at 5 digits are common
 AS_OF = dt.date(2001, 12, 31)
 
 _stored: dict[tuple[str, str, str], object] = {}
@@ -459,17 +460,17 @@ def normalize_bounds(spark, sf):
 
 @query
 def normalized_features(spark, sf):
-    return rounded(scored(Fixtures(spark, sf)).normalized)
+    return rounded(scored(Fixtures(spark, sf)).normalized, UNIT_DIGITS)
 
 
 @query
 def subindices(spark, sf):
-    return rounded(scoring.subindices(scored(Fixtures(spark, sf)).normalized).select(*KEY, "spc", "sep", "sve"))
+    return rounded(scoring.subindices(scored(Fixtures(spark, sf)).normalized).select(*KEY, "spc", "sep", "sve"), UNIT_DIGITS)
 
 
 @query
 def risk_scores(spark, sf):
-    return rounded(scored(Fixtures(spark, sf)).scores)
+    return rounded(scored(Fixtures(spark, sf)).scores, UNIT_DIGITS)
 
 
 @query
