@@ -47,11 +47,12 @@ def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
         .withColumn("cell_x", F.explode("xs"))
         .withColumn("cell_y", F.explode("ys"))
     )
+    slack = cell * 1e-9  # the cell of a point is found by a rounded division
     near = F.filter(
         "edges",
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("cell_y") * cell)
-        & (F.least(e["y1"], e["y2"]) <= (F.col("cell_y") + 1) * cell)
-        & (F.greatest(e["x1"], e["x2"]) >= F.col("cell_x") * cell),
+        lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("cell_y") * cell - slack)
+        & (F.least(e["y1"], e["y2"]) <= (F.col("cell_y") + 1) * cell + slack)
+        & (F.greatest(e["x1"], e["x2"]) >= F.col("cell_x") * cell - slack),
     )
     return placed.withColumn("edges", near).filter(F.size("edges") > 0).drop("xs", "ys")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from agrovane.ml.evaluation import evaluate_models
 from agrovane.operators import assembly, clean, climate, forest, names, production, scoring, serving, stations
 from agrovane.plans import pipeline
 from agrovane.scale import materialize, shared_folder
+from agrovane.session import configure
 from agrovane.sources import landing
 from agrovane.sources.fixtures import Fixtures
 from agrovane.sources.schemas import KEY, PREDICTOR_COLUMNS, SOCIO
@@ -31,8 +33,14 @@ _stored: dict[tuple[str, str, str], object] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query; it runs with the recommended session options (UTC days, AQE)."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return function(configure(spark), sf)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
