@@ -141,8 +141,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM t LEFT JOIN per USING (r)
 """
 
+_WARC = """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages
+),
+d AS (SELECT page_id, url, octet_length(body) AS n, sha1(body) AS digest FROM p),
+l AS (SELECT digest, max(page_id) AS leader FROM d WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN leader IS NOT NULL AND page_id IS DISTINCT FROM leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to, coalesce(url, '') AS url
+FROM d LEFT JOIN l ON n >= 1000 AND d.digest = l.digest
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
+    "op3_warc": _WARC,
     "op9_mixing": _MIX,
     "op10_secret_scan": _SECRETS,
 }

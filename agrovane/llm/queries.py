@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrovane.llm import mixing, quality_rules, secret_scan
+from agrovane.llm import decontaminate, mixing, quality_rules, secret_scan, superminhash, warc
 from agrovane.llm.common import read
 from agrovane.session import configure
 
 
+#: Rows and bytes of the batches that go to Python; a batch of very long texts stays small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         configure(spark)
+        for key, value in ARROW.items():
+            spark.conf.set(key, value)
         return operator(*[read(spark, folder, table) for table in tables])
 
     return query
@@ -21,6 +27,9 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _over(quality_rules.op1, "documents"),
+    "op3_warc": _over(warc.op3, "pages"),
+    "op5_superminhash": _over(superminhash.op5, "documents"),
+    "op7_decontaminate": _over(decontaminate.op7, "documents", "benchmark"),
     "op9_mixing": _over(mixing.op9, "documents"),
     "op10_secret_scan": _over(secret_scan.op10, "documents"),
 }
