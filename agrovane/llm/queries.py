@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrovane.llm import decontaminate, license_scan, mixing, quality_rules, rule_ensemble, secret_scan, superminhash, warc
+from agrovane.llm import decontaminate, license_scan, mixing, quality_rules, recompression, rule_ensemble, secret_scan, suffix_index, superminhash, warc
 from agrovane.llm.common import read
 from agrovane.session import configure
 
@@ -29,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _over(quality_rules.op1, "documents"),
     "op2_license_scan": _over(license_scan.op2, "documents"),
     "op3_warc": _over(warc.op3, "pages"),
+    "op4_recompression": _over(recompression.op4, "documents"),
     "op5_superminhash": _over(superminhash.op5, "documents"),
     "op6_rule_ensemble": _over(rule_ensemble.op6, "documents", "labels"),
     "op7_decontaminate": _over(decontaminate.op7, "documents", "benchmark"),
+    "op8_suffix_index": _over(suffix_index.op8, "documents"),
     "op9_mixing": _over(mixing.op9, "documents"),
     "op10_secret_scan": _over(secret_scan.op10, "documents"),
 }
