@@ -7,12 +7,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrovane.scale import materialize
+from agrovane.session import configure
 
 # A word is a run of characters other than blank, tab, newline, vertical tab, form feed and carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes of the batches that go to Python; a batch of very long texts stays small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session options that the operators are written for."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+    return configure(spark)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -32,13 +44,23 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_row_key(docs: DataFrame, *columns: str) -> DataFrame:
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, ``_doc``, so that none of them clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` next to the whole row."""
+    return docs.select(*columns, whole_row(docs))
+
+
+def with_row_key(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """``columns`` of ``docs`` plus ``fid`` and ``rix``, a key of each physical row that is the same in every scan.
 
     Document ids may be NULL or repeated, so they can't tell rows apart. Files read by Spark have a path and a row number;
     any other frame is written to the shared folder first.
     """
-    kept = [F.col(f"`{c}`") for c in columns]
+    kept = [F.col(f"`{c}`") if isinstance(c, str) else c for c in columns]
     try:
         return _keyed(docs, kept)
     except pyspark.errors.AnalysisException:

@@ -7,19 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agrovane.llm import decontaminate, license_scan, mixing, quality_rules, recompression, rule_ensemble, secret_scan, suffix_index, superminhash, warc
-from agrovane.llm.common import read
-from agrovane.session import configure
-
-
-#: Rows and bytes of the batches that go to Python; a batch of very long texts stays small.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+from agrovane.llm.common import prepare, read
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        configure(spark)
-        for key, value in ARROW.items():
-            spark.conf.set(key, value)
+        prepare(spark)
         return operator(*[read(spark, folder, table) for table in tables])
 
     return query

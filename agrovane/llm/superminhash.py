@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.llm.common import with_row_key
+from agrovane.llm.common import whole_row, with_row_key
 from agrovane.llm.components import components
 from agrovane.llm.hashing import LOWER, U64, WordHash, mix, shingles, stream
 from agrovane.scale import materialize, small_side
@@ -237,4 +237,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     first = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("first"))
     dropped = materialize(grouped.join(first, "root").where("rid != first.rid").select("fid", "rix"), "dropped")
-    return with_row_key(docs, *docs.columns).join(small_side(dropped), ["fid", "rix"], "left_anti").select(*docs.columns)
+    return with_row_key(docs, whole_row(docs)).join(small_side(dropped), ["fid", "rix"], "left_anti").select("_doc.*")
