@@ -54,24 +54,20 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, whole_row(docs))
 
 
-def with_row_key(docs: DataFrame, *columns: str | Column) -> DataFrame:
-    """``columns`` of ``docs`` plus ``fid`` and ``rix``, a key of each physical row that is the same in every scan.
-
-    Document ids may be NULL or repeated, so they can't tell rows apart. Files read by Spark have a path and a row number;
-    any other frame is written to the shared folder first.
-    """
-    kept = [F.col(f"`{c}`") if isinstance(c, str) else c for c in columns]
+def in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if Spark reads it from files, else what it gives when it is written to the shared folder once."""
     try:
-        return _keyed(docs, kept)
+        docs.select("_metadata.row_index").schema  # noqa: B018  the missing column shows here
     except pyspark.errors.AnalysisException:
-        return _keyed(materialize(docs.select(*kept), "rows"), kept)
+        return materialize(docs, "rows")
+    return docs
 
 
-def _keyed(docs: DataFrame, kept: list[Column]) -> DataFrame:
-    keyed = docs.select(
-        *kept,
-        F.xxhash64(F.col("_metadata.file_path")).alias("fid"),
-        F.col("_metadata.row_index").alias("rix"),
-    )
-    keyed.schema  # noqa: B018  the missing column shows here
-    return keyed
+def with_row_key(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``docs`` (see :func:`in_files`) plus ``fid`` and ``rix``, a key of each row that is the same in every scan.
+
+    Document ids may be NULL or repeated, so they can't tell rows apart; file and row number do.
+    """
+    kept = [F.col(f"`{c}`") if isinstance(c, str) else c for c in columns]
+    place = F.xxhash64(F.col("_metadata.file_path")).alias("fid"), F.col("_metadata.row_index").alias("rix")
+    return docs.select(*kept, *place)

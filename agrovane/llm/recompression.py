@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from agrovane.llm import repeats
+from agrovane.llm.common import in_files
 from agrovane.llm.hashing import U64, WordHash, mix
 
 WINDOW, ROUNDS = 20, 4
@@ -85,7 +86,7 @@ def anchors(words: np.ndarray, window: int, prints: repeats.Fingerprints) -> tup
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Repeated windows of each document."""
+    """Repeated windows of each document of ``docs``, which are in files."""
     return repeats.find(docs, WINDOW, repeats.LATER, tokens, anchors)
 
 
@@ -105,6 +106,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Every document with what is left of it (``kept``, words joined by one blank)."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    docs = in_files(docs)
     return repeats.join_back(docs, find(docs)).mapInArrow(_kept, schema)
 
 

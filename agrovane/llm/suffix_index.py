@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from agrovane.llm import repeats
+from agrovane.llm.common import in_files
 from agrovane.llm.hashing import U64, mix
 
 WINDOW, GRAM = 200, 40
@@ -104,7 +105,7 @@ def batches_of(runs: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Repeated windows of each document."""
+    """Repeated windows of each document of ``docs``, which are in files."""
     return repeats.find(docs, WINDOW, repeats.ANY, tokens, anchors, merge)
 
 
@@ -125,6 +126,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Every document with the bytes that are left of it (``kept``)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    docs = in_files(docs)
     return repeats.join_back(docs, find(docs)).mapInArrow(_kept, schema)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.llm.common import whole_row, with_row_key
+from agrovane.llm.common import in_files, whole_row, with_row_key
 from agrovane.llm.components import components
 from agrovane.llm.hashing import LOWER, U64, WordHash, mix, shingles, stream
 from agrovane.scale import materialize, small_side
@@ -166,7 +166,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fid, rix, rid, n_shingles and ``root``, the key of its component (NULL: empty set)."""
+    """For ``docs`` in files, one row per document: doc_id, fid, rix, rid, n_shingles and ``root``, the key of its component (NULL: empty set)."""
     signed = sign(docs)
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rid"))
     nodes = signed.join(classes.select("rid"), "rid", "left_semi")
@@ -225,7 +225,7 @@ def group(docs: DataFrame) -> DataFrame:
 
 def op5(docs: DataFrame) -> DataFrame:
     """Set size, component and whether the document is its component's first; see the module for the special cases."""
-    grouped = materialize(group(docs), "grouped")
+    grouped = materialize(group(in_files(docs)), "grouped")
     least = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     own = grouped.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -233,6 +233,7 @@ def op5(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: the one with the least id, of equal ids the first in the files."""
+    docs = in_files(docs)
     grouped = materialize(group(docs), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     first = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("first"))
