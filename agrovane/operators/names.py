@@ -199,18 +199,22 @@ def attach_codes(facts: DataFrame, resolved: DataFrame) -> DataFrame:
 
     ``resolved`` should be a stored table, because its size is probed.
     """
-    codes = resolved.filter(F.col("codigo_municipio").isNotNull()).select("departamento", "municipio", "codigo_municipio")
-    return facts.join(small_side(codes), ["departamento", "municipio"], "left")
+    codes = resolved.filter(F.col("codigo_municipio").isNotNull()).select(
+        F.col("departamento").alias("_departamento"), F.col("municipio").alias("_municipio"), "codigo_municipio"
+    )
+    # A fact may have no department; its name is resolved all the same.
+    same = F.col("departamento").eqNullSafe(F.col("_departamento")) & F.col("municipio").eqNullSafe(F.col("_municipio"))
+    return facts.join(small_side(codes), same, "left").drop("_departamento", "_municipio")
 
 
 def match_report(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """Matched rows, total rows and distinct unmatched names, as one row."""
     counts = facts.groupBy("departamento", "municipio").agg(F.count(F.lit(1)).alias("filas"))
-    joined = counts.join(
-        resolved.filter(F.col("codigo_municipio").isNotNull()).select("departamento", "municipio", "via"),
-        ["departamento", "municipio"],
-        "left",
+    found = resolved.filter(F.col("codigo_municipio").isNotNull()).select(
+        F.col("departamento").alias("_departamento"), F.col("municipio").alias("_municipio"), "via"
     )
+    same = F.col("departamento").eqNullSafe(F.col("_departamento")) & F.col("municipio").eqNullSafe(F.col("_municipio"))
+    joined = counts.join(found, same, "left")
     matched = F.coalesce(F.sum(F.when(F.col("via").isNotNull(), F.col("filas"))), F.lit(0))
     return joined.agg(
         matched.alias("coincidencias"),

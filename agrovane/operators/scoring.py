@@ -59,8 +59,9 @@ def subindices(normalized: DataFrame) -> DataFrame:
 
 
 def composite(weights: dict[str, float] | None = None) -> Column:
+    """Weighted sum of the three sub-indices, whatever the order in which their weights are given."""
     weights = weights or WEIGHTS
-    return clip_unit(sum((F.col(c) * w for c, w in list(weights.items())[1:]), F.col("spc") * weights["spc"]))
+    return clip_unit(F.col("spc") * weights["spc"] + F.col("sep") * weights["sep"] + F.col("sve") * weights["sve"])
 
 
 def risk_level(score: Column, null_level: str | None = "Crítico") -> Column:

@@ -112,9 +112,8 @@ def forest_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
 
     def build():
         landed, unit = fx.loss_landed(), forest.unit_names(fx.adm_names())
-        years = list(range(1995, 2002))
         return tuple(
-            materialize(forest.loss_wide(forest.name_units(forest.loss_by_year(landed, primary), unit), years), "loss")
+            materialize(forest.loss_wide(forest.name_units(forest.loss_by_year(landed, primary), unit)), "loss")
             for primary in (False, True)
         )
 
@@ -124,7 +123,7 @@ def forest_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
 def loss_rows(fx: Fixtures) -> DataFrame:
     wide, primary = forest_tables(fx)
     return forest.with_primary(
-        forest.loss_long(wide, start_year=1995), forest.loss_long(primary, "primary_loss_ha", 1995)
+        forest.loss_long(wide, start_year=0), forest.loss_long(primary, "primary_loss_ha", 0)
     )
 
 
@@ -638,9 +637,9 @@ def ranking_page(spark, sf):
 @query
 def ranking_search(spark, sf):
     _, results, known = _served(spark, sf)
-    return rounded(serving.page(serving.ranking_rows(results, known, search="nd#1"), limit=500)).unionByName(
-        rounded(serving.page(serving.ranking_rows(results, known, search="nation_2", accent_insensitive=True), limit=500))
-    )
+    """All rows that a search finds, with and without regard to accents."""
+    plain = serving.ranking_rows(results, known, search="nd#1")
+    return rounded(plain.unionByName(serving.ranking_rows(results, known, search="nation_2", accent_insensitive=True)))
 
 
 @query

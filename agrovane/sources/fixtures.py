@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sub-ranges of the observation period per source, so that the outer join leaves gaps.
-OBSERVATION_RANGES = {
-    "humedad": ("1996-01-01", "2001-12-31"),
-    "presion": ("1995-01-01", "2000-06-30"),
-    "tambiente": ("1997-01-01", "2001-03-31"),
-    "viento": ("1998-07-01", "2001-12-31"),
-}
-
 # Place names that the alias and department tables know; spread over the name fixture.
 FIXTURE_PLACES = ["SOPETRAN", "SANTA FE DE ANTIOQUIA", "PIENDAMO", "PUEBLOBELLO", "SAN BENITO ABAD", "SAN ESTANISLAO"]
 FIXTURE_SPELLINGS = ["El Sopetrán", "Santafé de Antioquia", "Piendamá", "Pueblo  Bello", "San Benito", "S. Estanislao"]
@@ -49,16 +41,18 @@ class Fixtures:
         values = {
             "precipitacion": F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0.0),
             "temperatura": F.col("l_quantity"),
-            "humedad": F.col("l_tax") * 1000,
             "presion": F.col("l_extendedprice") / 97,
             "tambiente": F.col("l_quantity") / 2,
-            "viento": F.col("l_discount") * 100,
         }
-        df = self.table("lineitem")
-        if kind in OBSERVATION_RANGES:
-            first, last = OBSERVATION_RANGES[kind]
-            df = df.filter(F.col("l_shipdate").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
-        return df.select(
+        # Two sources know other stations and days than the rest (orders, at ten stations), so the outer join has gaps.
+        ordered = {"humedad": F.col("o_totalprice") / 970, "viento": F.col("o_custkey") % 97 + F.lit(0.5)}
+        if kind in ordered:
+            return self.table("orders").select(
+                (F.col("o_custkey") % 10 + 1).alias("codigoestacion"),
+                F.col("o_orderdate").alias("fechaobservacion"),
+                ordered[kind].alias("valorobservado"),
+            )
+        return self.table("lineitem").select(
             F.col("l_suppkey").alias("codigoestacion"),
             F.col("l_shipdate").alias("fechaobservacion"),
             values[kind].alias("valorobservado"),

@@ -110,7 +110,7 @@ class Lakehouse:
         try:
             rows = self.materialize(name, build, force).count()
         except Exception as error:  # noqa: BLE001 - the outcome is the result of this call
-            ok, detail = False, str(error)[:500]
+            ok, detail = False, str(error)
         record = (name, ok, rows, time.monotonic() - started, detail, dt.datetime.now())
         self.spark.createDataFrame([record], RUNS_SCHEMA).write.mode("append").parquet(f"{self.root}/pipeline_runs")
         return ok

@@ -74,22 +74,18 @@ def refresh_months(
     target: str,
     checkpoint: str,
 ) -> DataFrame:
-    """Recompute the months that new rows touch, from all landed rows of those months.
+    """Recompute the calendar months that new rows touch, in every year, from all landed rows of those months.
 
-    ``build`` maps observations to a table with a ``periodo`` column. Only the touched partitions are replaced, so a
-    batch that runs again after a failure gives the same table.
+    ``build`` maps observations to a table with a ``periodo`` column. A feature may be measured against the same month of all
+    years, so a new January row changes every January; no other month depends on it. Only the partitions of
+    these months are replaced, so a batch that runs again after a failure gives the same table.
     """
-    month = F.trunc(F.col("fechaobservacion").cast("date"), "month")
+    calendar_month = F.month(F.col("fechaobservacion").cast("date"))
 
     def refresh(batch: DataFrame, _: int) -> None:
-        touched = batch.select(month.alias("periodo")).distinct()
-        rows = (
-            batch.sparkSession.read.schema(schema)
-            .parquet(landed)
-            .withColumn("periodo", month)
-            .join(small_side(touched), "periodo", "left_semi")
-            .drop("periodo")
-        )
+        # At most twelve values, so they can be literals of the scan's filter.
+        touched = [r["m"] for r in batch.select(calendar_month.alias("m")).distinct().collect() if r["m"] is not None]
+        rows = batch.sparkSession.read.schema(schema).parquet(landed).where(calendar_month.isin(touched))
         build(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("periodo").parquet(target)
 
     query = (

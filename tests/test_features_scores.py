@@ -154,3 +154,9 @@ def test_agents(spark):
     assert b["recomendaciones_sintetizadas"][0] == "Mantener calendario de monitoreo climático"
     assert c["prioridad"] == "bajo" and c["recomendaciones_sintetizadas"] == []
     assert c["resumen"].startswith("Condiciones favorables")
+
+
+def test_composite_does_not_depend_on_the_order_of_weights(spark):
+    row = spark.createDataFrame([(0.2, 0.6, 0.7)], "spc double, sep double, sve double")
+    for weights in ({"sep": 0.3, "spc": 0.5, "sve": 0.2}, {"spc": 0.5, "sep": 0.3, "sve": 0.2}):
+        assert abs(row.select(scoring.composite(weights)).first()[0] - 0.42) < 1e-12

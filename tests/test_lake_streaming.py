@@ -108,3 +108,16 @@ def test_refresh_recomputes_only_touched_months(spark, tmp_path, known, rows):
     out = incremental.refresh_months(spark, source, OBSERVATION, build, target, state)
     assert rows(out.select("codigo_municipio", "viento_media_30d")) == [("a", 3.0), ("b", 8.0)]
     assert set((tmp_path / "out" / "periodo=2024-02-01").iterdir()) == before
+
+
+def test_refresh_keeps_baselines_over_all_years(spark, tmp_path, known, rows):
+    """A feature measured against the same month of other years: a new January changes every January."""
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    build = lambda df: climate.tmax_monthly(df, known)
+    past = [("1", dt.datetime(2023, 1, 3), 20.0), ("1", dt.datetime(2023, 2, 3), 8.0)]
+    spark.createDataFrame(past, OBSERVATION).write.parquet(source)
+    incremental.refresh_months(spark, source, OBSERVATION, build, target, state)
+    spark.createDataFrame([("1", dt.datetime(2024, 1, 9), 30.0)], OBSERVATION).write.mode("append").parquet(source)
+    out = incremental.refresh_months(spark, source, OBSERVATION, build, target, state)
+    got = out.selectExpr("CAST(periodo AS STRING)", "tmax_anomalia_30d")
+    assert rows(got) == [("2023-01-01", -5.0), ("2023-02-01", 0.0), ("2024-01-01", 5.0)]

@@ -77,3 +77,16 @@ def test_report_counts_rows_and_names(spark):
     assert tuple(names.match_report(facts, resolved).first()) == (3, 5, 1)
     assert [r[0] for r in names.unmatched_names(resolved).collect()] == ["Nope"]
     assert names.attach_codes(facts, resolved).count() == 5
+
+
+def test_facts_without_a_department_keep_their_code(spark):
+    """NULL departments join NULL departments."""
+    facts = spark.createDataFrame([(None, "Uno"), (None, "Uno"), ("D", "Uno"), (None, "Nadie")], "departamento string, municipio string")
+    resolved = spark.createDataFrame(
+        [(None, "Uno", "00001", "exacto"), ("D", "Uno", "00001", "exacto"), (None, "Nadie", None, None)],
+        "departamento string, municipio string, codigo_municipio string, via string",
+    )
+    coded = names.attach_codes(facts, resolved)
+    assert sorted(map(repr, (r["codigo_municipio"] for r in coded.collect()))) == ["'00001'"] * 3 + ["None"]
+    assert coded.columns == ["departamento", "municipio", "codigo_municipio"]
+    assert tuple(names.match_report(facts, resolved).first()) == (3, 4, 1)
