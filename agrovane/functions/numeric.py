@@ -43,7 +43,3 @@ def double_literal(value: float) -> str:
 def clip_unit(column: Column) -> Column:
     """Clip to [0, 1]; NULL stays NULL (``greatest`` and ``least`` would skip it)."""
     return F.when(column.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), column)))
-
-
-def round_half_even(column: Column, digits: int) -> Column:
-    return F.bround(column, digits)

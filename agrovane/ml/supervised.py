@@ -34,12 +34,11 @@ def supervised_set(
 
 
 def sized_for_training(df: DataFrame, rows: int) -> DataFrame:
-    """Partitions by row count, as fitting is bound by CPU: few for a small crop, up to four per core for a large one.
+    """Partitions by row count alone, so that what is fitted per partition does not depend on the cluster.
 
     Every boosting step schedules one task per partition, so a small crop must not inherit the splits of the table.
     """
-    most = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(most, -(-rows // ROWS_PER_TASK))), *KEY)
+    return df.repartition(max(1, -(-rows // ROWS_PER_TASK)), *KEY)
 
 
 @dataclass(frozen=True)

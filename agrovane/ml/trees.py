@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import functools
 import json
 from concurrent.futures import ThreadPoolExecutor
@@ -194,4 +195,5 @@ def load_models(names: list[str], folder: str, kind=GBTRegressionModel) -> dict:
 
 
 def _folder_name(name: str) -> str:
-    return "global" if name == GLOBAL else "crop-" + name.replace(" ", "_")
+    """One folder per name: every character but letters and digits is written as its code."""
+    return "global" if name == GLOBAL else "crop-" + re.sub(r"[^0-9A-Za-z]", lambda m: f"_{ord(m[0]):x}_", name)
