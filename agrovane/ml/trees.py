@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import functools
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.evaluation import RegressionEvaluator
