@@ -683,7 +683,7 @@ FROM (SELECT DISTINCT ON (user_id % 10, ts) * FROM events) GROUP BY 1"""
 _SQL["stream_daily"] = f"""
 SELECT codigo_municipio, CAST(ts AS DATE) AS fecha, {r("sum(value)", "precip_dia")}
 FROM events JOIN fx_stations ON CAST(user_id % 10 AS VARCHAR) = codigoestacion
-GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)"""
+GROUP BY 1, 2"""
 _SQL["stream_refresh"] = f"""
 SELECT codigo_municipio, CAST(date_trunc('month', ts) AS DATE) AS periodo, {r("avg(value)", "viento_media_30d")}
 FROM events JOIN fx_stations ON CAST(user_id % 10 AS VARCHAR) = codigoestacion GROUP BY 1, 2"""

@@ -851,8 +851,10 @@ def stream_landing(spark, sf):
 
 @query
 def stream_daily(spark, sf):
-    """Closed days of the daily totals per zone."""
-    return rounded(_run_stream(spark, incremental.daily_totals(_event_stream(spark, sf), Fixtures(spark, sf).stations())))
+    """Daily totals per zone, days that are still open included."""
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    totals = incremental.daily_totals(_event_stream(spark, sf), Fixtures(spark, sf).stations())
+    return rounded(incremental.upsert_available(totals, f"{base}/table", f"{base}/state", ["codigo_municipio", "fecha"], "fecha"))
 
 
 @query

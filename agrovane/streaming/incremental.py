@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrovane.functions.text import station_key
-from agrovane.scale import small_side
+from agrovane.scale import materialize, small_side
 
 WATERMARK = "1 day"
 
@@ -32,9 +32,9 @@ def deduplicated(stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
 
 
 def daily_totals(stream: DataFrame, stations: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Daily total per zone; a day is written once it is older than the watermark.
+    """Daily total per zone. Appended, a day is written once it is older than the watermark; upserted, with every batch.
 
-    Over the same rows the closed days equal the batch result.
+    Over the same rows the days equal the batch result.
     """
     known = stations.filter(F.col("codigo_municipio").isNotNull()).select(
         station_key(stations).alias("estacion"), "codigo_municipio"
@@ -66,6 +66,36 @@ def append_available(stream: DataFrame, target: str, checkpoint: str, partition_
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
+def upsert_available(stream: DataFrame, target: str, checkpoint: str, keys: list[str], partition: str) -> DataFrame:
+    """Merge the latest rows of an aggregated stream into a Parquet table by key, open groups included.
+
+    Only the partitions that a batch touches are read and replaced, from a stored copy, so a batch that runs again after a
+    failure gives the same table.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = materialize(batch, "upserts")
+        if number > 0 and new.isEmpty():
+            return
+        merged = new
+        if number > 0:
+            old = spark.read.schema(batch.schema).parquet(target)
+            old = old.join(small_side(new.select(partition).distinct()), partition, "left_semi")
+            merged = materialize(new.unionByName(old.join(new.select(*keys), keys, "left_anti")), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+
+    query = (
+        stream.writeStream.foreachBatch(merge)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target)
+
+
 def refresh_months(
     spark: SparkSession,
     landed: str,

@@ -121,3 +121,14 @@ def test_refresh_keeps_baselines_over_all_years(spark, tmp_path, known, rows):
     out = incremental.refresh_months(spark, source, OBSERVATION, build, target, state)
     got = out.selectExpr("CAST(periodo AS STRING)", "tmax_anomalia_30d")
     assert rows(got) == [("2023-01-01", -5.0), ("2023-02-01", 0.0), ("2024-01-01", 5.0)]
+
+
+def test_upserted_days_are_complete_after_every_run(spark, tmp_path, known, rows):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    runs = [[("1", dt.datetime(2024, 1, 3, 1), 2.0), ("2", dt.datetime(2024, 1, 3, 2), 8.0)], [("1", dt.datetime(2024, 1, 3, 9), 4.0), ("1", dt.datetime(2024, 1, 4), 1.0)]]
+    expected = [[("a", "2024-01-03", 2.0), ("b", "2024-01-03", 8.0)], [("a", "2024-01-03", 6.0), ("a", "2024-01-04", 1.0), ("b", "2024-01-03", 8.0)]]
+    for new, whole in zip(runs, expected, strict=True):
+        spark.createDataFrame(new, OBSERVATION).write.mode("append").parquet(source)
+        totals = incremental.daily_totals(incremental.observation_stream(spark, source, OBSERVATION), known)
+        out = incremental.upsert_available(totals, target, state, ["codigo_municipio", "fecha"], "fecha")
+        assert rows(out.selectExpr("codigo_municipio", "CAST(fecha AS STRING)", "precip_dia")) == whole
