@@ -7,10 +7,10 @@ every position of a document holds a value below j + 1 no later round can change
 
 * Documents with equal sets are one class and one node; a class of copies, however large, costs one signature.
 * 32 bands of 4 positions make buckets. A pair at similarity 0.75 shares no bucket with probability 5e-6.
-* In a bucket, members are first checked against a pivot, and only members that are not yet in one component are checked
-  on: against other pivots, at last against every member of another component. So a bucket of near copies costs a few
-  checks per member, and no link between different components is left unchecked.
-* A check compares signatures, and full shingle sets unless the signatures rule the pair out (estimate under 0.55, more
+* In a bucket, members are first checked against its pivot, so a bucket of near copies costs about one check per member.
+  Buckets that still hold several components are joined to families of members, and all members of different components of a family are
+  compared exactly, block against block: no link between different components is left unchecked, and no pairs are listed.
+* A check against a pivot compares signatures, and full shingle sets unless the signatures rule the pair out (estimate under 0.55, more
   than five standard deviations below 0.75).
 
 Defined cases: NULL or empty text, or no words, gives an empty set that is linked with nothing; the component is then the
@@ -39,8 +39,8 @@ POSITIONS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 75
 #: Signatures that agree in fewer positions rule a pair out.
 LEAST_AGREEMENT = int(0.55 * POSITIONS)
-#: Checks against one pivot per bucket before all members of different components are checked.
-PIVOT_ROUNDS = 3
+#: Members of a block; two blocks meet in one group.
+BLOCK = 256
 #: Elements whose signatures are computed together.
 ELEMENTS = 200_000
 
@@ -181,48 +181,114 @@ def group(docs: DataFrame) -> DataFrame:
     texts = with_row_key(docs, "text").join(small_side(places), ["fid", "rix"], "left_semi")
     bodies = materialize(texts.select("text").mapInArrow(_keyed_sets, "key binary, body binary"), "sets")
 
-    found = materialize(known.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
-    tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = materialize(members.join(found.withColumnRenamed("node", "key"), "key"), "placed")
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        left = placed.join(open_, "bucket")
-        if turn < PIVOT_ROUNDS:
-            mark = F.xxhash64("key", F.lit(turn))
-            pivots = left.groupBy("bucket").agg(F.min(F.struct(mark, "key", "root")).alias("p"))
-            pivots = pivots.select("bucket", F.col("p.key").alias("u"), F.col("p.root").alias("other"))
-        else:
-            pivots = left.select("bucket", F.col("key").alias("u"), F.col("root").alias("other"))
-        pairs = left.join(pivots, "bucket").where("root != other")
-        if turn == PIVOT_ROUNDS:
-            pairs = pairs.where(F.col("u") < F.col("key"))
-        pairs = pairs.select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == PIVOT_ROUNDS or open_.isEmpty():
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        close = materialize(_checked(pairs, known, "sig", _agree), "close")
-        links = materialize(_checked(close, bodies, "body", _similar), "links")
-        # Components of components: an end of a link stands for the root it has so far.
-        ends = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        between = links.join(ends("u"), "u").join(ends("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u != v")
-        merged = components(between).withColumnRenamed("root", "top")
-        found = materialize(
-            found.join(merged, found["root"] == merged["node"], "left").select(
-                found["node"], F.coalesce("top", found["root"]).alias("root")
-            ),
-            "roots",
-        )
+    found = known.select(F.col("key").alias("node"), F.col("key").alias("root"))
+    pairs = materialize(_pivot_pairs(members), "pairs")
+    close = materialize(_checked(pairs, known, "sig", _agree), "close")
+    links = materialize(_checked(close, bodies, "body", _similar), "links")
+    found = materialize(_merged(found, links), "roots")
+    rest = materialize(_open_families(members, found), "families")
+    found = materialize(_merged(found, materialize(_block_links(rest, bodies), "links")), "roots")
     named = found.withColumnRenamed("node", "key")
     return signed.join(named, "key", "left").select(
         "doc_id", "fid", "rix", "rid", "n_shingles", F.coalesce("root", "key").alias("root")
     )
 
 
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("p"))
+    pairs = members.join(pivots.select("bucket", F.col("p.key").alias("u")), "bucket").where("u != key")
+    return pairs.select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, root) after ``links`` between nodes: components of components, an end stands for its root."""
+    ends = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(ends("u"), "u").join(ends("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u != v")
+    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return found.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def _open_families(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with several components: key, root and family (buckets that share members are one family)."""
+    placed = members.join(found.withColumnRenamed("node", "key"), "key")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    left = materialize(placed.join(open_, "bucket"), "open")
+    tie = F.concat(F.lit(b"bucket"), F.encode(F.col("bucket").cast("string"), "utf-8"))
+    family = components(left.select(F.col("key").alias("u"), tie.alias("v")))
+    keys = left.select("key", "root").distinct()
+    return keys.join(family.select(F.col("node").alias("key"), F.col("root").alias("family")), "key")
+
+
+def _block_links(rest: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links between different components of a family, found block against block.
+
+    Components of at least a block have blocks of their own, the other members share some. Every two blocks of a family meet in a
+    group of bounded size unless both are of one component; a group returns a spanning forest of its links, never pairs.
+    """
+    size = rest.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    owner = F.when(F.col("n") >= BLOCK, F.col("root"))
+    shared = size.withColumn("owner", owner).groupBy("family", "owner").agg(F.sum("n").alias("n"))
+    many = F.ceil(F.col("n") / BLOCK).cast("long")
+    blocks = shared.select("family", "owner", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("b"), many.alias("many"))
+    blocks = materialize(blocks.withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(b"")), "b")), "blocks")
+    kinds = blocks.select("family", F.col("owner").alias("own"), "many").distinct()
+    placed = (
+        rest.join(size, ["family", "root"])
+        .withColumn("owner", owner)
+        .join(kinds, "family")
+        .where(F.col("owner").eqNullSafe(F.col("own")))
+        .withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(b"")), F.pmod(F.xxhash64("key"), F.col("many"))))
+        .select("family", "root", "key", "owner", "block")
+    )
+    other = blocks.select("family", F.col("owner").alias("own"), F.col("block").alias("facing"))
+    met = placed.join(other, "family").where("owner IS NULL OR own IS NULL OR owner != own")
+    met = met.select("family", F.least("block", "facing").alias("b1"), F.greatest("block", "facing").alias("b2"), "key", "root")
+    return met.join(bodies, "key").groupBy("family", "b1", "b2").applyInArrow(_forest_of_block, "u binary, v binary")
+
+
+def _forest_of_block(table: pa.Table) -> pa.Table:
+    """Links that join different components among some hundred sets, by exact intersections of all of them at once."""
+    keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+    sets = [np.frombuffer(b, U64) for b in table.column("body").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    similar = np.triu(100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both), 1)
+    parent = {r: r for r in roots}
+
+    def root(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for a, b in zip(*np.nonzero(similar), strict=True):
+        x, y = root(roots[a]), root(roots[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((keys[a], keys[b]))
+    return pa.table([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+
+def intersections(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every two sets; elements of a single set are left out first."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    owner, column = owner[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32 if len(sets) else np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (low, low + columns))
+        grid = np.zeros((len(sets), columns), np.float32)
+        grid[owner[a:b], column[a:b] - low] = 1
+        total += grid @ grid.T
+    return np.rint(total).astype(np.int64)
+
+
 def op5(docs: DataFrame) -> DataFrame:
     """Set size, component and whether the document is its component's first; see the module for the special cases."""
     grouped = materialize(group(in_files(docs)), "grouped")
