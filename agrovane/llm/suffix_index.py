@@ -48,33 +48,55 @@ def anchors(values: np.ndarray, window: int, prints: repeats.Fingerprints) -> tu
     return (best & U64((1 << 20) - 1)).astype(np.int64), np.full(len(best), GRAM)
 
 
+class Level:
+    """A sparse suffix array with the order of its match contexts."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array[np.argsort(array["key"], kind="stable")]
+        self.order = np.argsort(self.array["context"], kind="stable")
+        self.contexts = self.array["context"][self.order]
+        self.many = np.concatenate([[0], np.cumsum(self.array["many"] > 0)])
+
+    def __len__(self) -> int:
+        return len(self.array)
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges low to high: the number of the range, and each place in it."""
+    size = high - low
+    number = np.repeat(np.arange(len(size)), size)
+    return number, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[number]
+
+
 class LevelledIndex:
     """Sorted arrays whose sizes at least double from level to level."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
+        self.levels: list[Level] = []
 
     @staticmethod
-    def _count(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return np.searchsorted(keys, of, "right") - np.searchsorted(keys, of, "left")
-
-    def scan(self, new: np.ndarray, level: np.ndarray) -> None:
-        """Marks long matches (DUP) and shared anchors in different contexts (OPEN) of both arrays."""
-        contexts = [np.sort(a["context"]) for a in (new, level)]
-        for a, b, other in ((new, level, contexts[1]), (level, new, contexts[0])):
-            equal = self._count(other, a["context"])
-            shared = self._count(b["key"], a["key"])
-            marked = self._count(b["key"][b["many"] > 0], a["key"])
-            a["flags"] |= (repeats.DUP * (equal > 0) | repeats.OPEN * ((shared > equal) | (marked > 0))).astype(np.uint8)
+    def scan(new: Level, level: Level) -> None:
+        """Marks long matches (DUP) and shared anchors in different contexts (OPEN) of both; looks only at what is hit."""
+        a, b = new.array, level.array
+        low, high = (np.searchsorted(level.contexts, a["context"], side) for side in ("left", "right"))
+        equal = high - low
+        _, at = spread(low, high)
+        b["flags"][level.order[at]] |= repeats.DUP
+        low, high = (np.searchsorted(b["key"], a["key"], side) for side in ("left", "right"))
+        marked = level.many[high] > level.many[low]
+        a["flags"] |= (repeats.DUP * (equal > 0) | repeats.OPEN * ((high - low > equal) | marked)).astype(np.uint8)
+        number, at = spread(low, high)
+        differs = (b["context"][at] != a["context"][number]) | (a["many"][number] > 0)
+        b["flags"][at[differs]] |= repeats.OPEN
 
     def add(self, array: np.ndarray) -> None:
+        new = Level(array)
         for level in self.levels:
-            self.scan(array, level)
-        self.levels.append(array)
+            self.scan(new, level)
+        self.levels.append(new)
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([a, b])
-            self.levels.append(both[np.argsort(both["key"], kind="stable")])
+            self.levels.append(Level(np.concatenate([a.array, b.array])))
 
 
 SUFFIX = np.dtype([*repeats.ENTRY.descr, ("context", "<u8"), ("flags", "u1")])
@@ -83,27 +105,20 @@ SUFFIX = np.dtype([*repeats.ENTRY.descr, ("context", "<u8"), ("flags", "u1")])
 def merge(runs: list[np.ndarray], rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of a part with their marks, batch after batch through the index.
 
-    A batch sends one entry per context, and pairs within a batch are settled there, so each pair of entries is compared once: when
+    A batch sends one entry per key, and what its entries have in common is settled there, so each pair of entries is compared once: when
     the later one's array arrives.
     """
     index = LevelledIndex()
-    for run in batches_of(runs):
+    for run in runs:
         array = np.zeros(len(run), SUFFIX)
         for name in repeats.ENTRY.names:
             array[name] = run[name]
-        array["context"] = mix(run["c1"]) + run["c2"]
-        index.add(array[np.argsort(array["key"], kind="stable")])
-    table = np.concatenate(index.levels)
+        array["context"] = mix(run["key"] ^ mix(run["c1"])) + run["c2"]
+        index.add(array)
+    table = np.concatenate([level.array for level in index.levels])
     return table, table["flags"] & repeats.DUP > 0, table["flags"] & repeats.OPEN > 0
 
 
-def batches_of(runs: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Rows of one batch put together: a batch's rows of a part have different contexts."""
-    for run in runs:
-        if len(run):
-            yield run
-
-
 def find(docs: DataFrame) -> DataFrame:
     """Repeated windows of each document of ``docs``, which are in files."""
     return repeats.find(docs, WINDOW, repeats.ANY, tokens, anchors, merge)

@@ -97,12 +97,28 @@ def test_levels_grow_geometrically():
         array["context"] = array["key"]
         index.add(array)
     assert sum(map(len, index.levels)) == 640 and len(index.levels) <= 7
-    again = index.levels[0][:3].copy()
+    again = index.levels[0].array[:3].copy()
     index.add(again)
-    assert sum((level["flags"] & repeats.DUP > 0).sum() for level in index.levels) == 6
+    assert sum((level.array["flags"] & repeats.DUP > 0).sum() for level in index.levels) == 6
 
 
 def test_sliding_min():
     values = np.random.default_rng(2).integers(0, 50, 97).astype(np.uint64)
     for width in (1, 2, 7, 96, 97):
         assert repeats.sliding_min(values, width).tolist() == [values[k : k + width].min() for k in range(98 - width)]
+
+
+def test_index_marks_what_grouping_all_entries_marks():
+    rng = np.random.default_rng(9)
+    runs = []
+    for _ in range(40):
+        table = np.zeros(30, repeats.ENTRY)
+        table["key"] = rng.choice(200, 30, replace=False)
+        table["c1"], table["rix"], table["many"] = rng.integers(0, 3, 30), rng.integers(0, 1 << 40, 30), rng.random(30) < 0.1
+        runs.append(table)
+    marks = lambda out: sorted(zip(out[0]["rix"].tolist(), out[1].tolist(), strict=True))
+    ours, theirs = suffix_index.merge(runs, repeats.ANY), repeats.by_group([r.copy() for r in runs], repeats.ANY)
+    assert marks(ours) == marks(theirs)
+    # Marked entries are open in their own batch already.
+    every = {r: o or m for r, o, m in zip(ours[0]["rix"].tolist(), ours[2].tolist(), ours[0]["many"].tolist(), strict=True)}
+    assert all(every[r] for r, o in zip(theirs[0]["rix"].tolist(), theirs[2].tolist(), strict=True) if o)
