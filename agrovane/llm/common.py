@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,12 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks both garbage collectors to run, so that Spark removes the shuffle files of steps whose result is stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one, ``_doc``, so that none of them clashes with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")

@@ -9,12 +9,12 @@ pick the same part form a block; equal windows pick equal parts, so they can onl
 
 So long copies cost an entry per block, not per token, and only their ends are compared window by window. Entries are
 combined per batch of a map task before they are shuffled: a content that a third of all documents hold costs an entry
-per batch, and a part that stands in many different surroundings sends one marker per batch. Texts are never shuffled on
-their own account; what is found is joined back by the place of a row in its file.
+per batch, and a part that stands in many different surroundings sends one marker per batch. What is found is joined back
+to the texts by the place of a row in its file; those two joins move the texts at every size but the smallest.
 
 Two rules decide what a repeat is. ``later``: a window is repeated if an equal one starts earlier (smaller id, or same row and
 smaller start; NULL ids come last, and rows with the same id don't precede each other). ``any``: if an equal one starts
-anywhere else. Contents are compared by 128-bit, windows by 128-bit fingerprints.
+anywhere else. Contents are compared by 160-bit, windows by 96-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrovane.llm.common import with_row_key
+from agrovane.llm.common import let_go, with_row_key
 from agrovane.llm.hashing import U64, mix
-from agrovane.scale import materialize, small_side
+from agrovane.scale import materialize
 
 LATER, ANY = "later", "any"
 DUP, OPEN = 1, 2
@@ -40,7 +40,7 @@ NO_ID = np.iinfo(np.int64).max
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 
 ENTRY = np.dtype(
-    [("key", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("did", "<i8"), ("fid", "<i8"), ("rix", "<i8"), ("start", "<u4"), ("end", "<u4"), ("many", "u1")]
+    [("key", "<u8"), ("c1", "<u8"), ("c2", "<u4"), ("did", "<i8"), ("fid", "<i8"), ("rix", "<i8"), ("start", "<u4"), ("end", "<u4"), ("many", "u1")]
 )
 SHUFFLED = "part int, fid long, rix long, opened boolean, body binary"
 COLUMNS = ["part", "fid", "rix", "opened", "body"]
@@ -149,7 +149,8 @@ class Batch:
     def add(self, number, start, end, key, c1, c2) -> None:
         table = np.zeros(len(key), ENTRY)
         ids = np.array(self.rows, np.int64)[number]
-        table["did"], table["fid"], table["rix"] = ids[:, 0], ids[:, 1], ids[:, 2]
+        table["did"] = ids[:, 0] if self.rule == LATER else 0
+        table["fid"], table["rix"] = ids[:, 1], ids[:, 2]
         table["start"], table["end"], table["key"], table["c1"], table["c2"] = start, end, key, c1, c2
         self.entries.append(table)
         self.size += len(table)
@@ -236,6 +237,7 @@ def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     part = (mix(table["key"]) % U64(parts)).astype(np.int32)
     order = np.lexsort([table["rix"], table["fid"], part])
     table, part = table[order], part[order]
+    table["end"] -= table["start"]  # small numbers pack well
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
     rows = []
     for low, high in zip(cut, [*cut[1:], len(part)], strict=True):
@@ -256,6 +258,7 @@ def unpack(body: bytes) -> np.ndarray:
         kind = ENTRY.fields[name][0]
         table[name] = np.frombuffer(body, kind, n, at)
         at += n * kind.itemsize
+    table["end"] += table["start"]
     return table
 
 
@@ -300,7 +303,10 @@ def _exchange(sent: DataFrame, parts: int, rule: str, merge: Merge) -> DataFrame
 
     to = F.when(F.col("part") < 0, F.pmod(F.xxhash64("fid", "rix"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     dealt = sent.withColumn("part", to).repartition("part").sortWithinPartitions(F.col("part"), F.col("fid").isNull())
-    return materialize(dealt.mapInArrow(reduce, SHUFFLED).select("fid", "rix", "opened", "body"), "marks")
+    done = materialize(dealt.mapInArrow(reduce, SHUFFLED).select("fid", "rix", "opened", "body"), "marks")
+    del sent, dealt
+    let_go(done.sparkSession)
+    return done
 
 
 def find(docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Anchors, merge: Merge = by_group) -> DataFrame:
@@ -348,15 +354,15 @@ def find(docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Ancho
                     size = some[:, 1] - some[:, 0] + 1
                     start = np.repeat(some[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum()) - at
                     h1, h2 = (prints.of(k, start, start + window) for k in (0, 1))
-                    held.add(np.full(len(start), number), start + at, start + at, h1, h2, np.zeros(len(start), U64))
+                    held.add(np.full(len(start), number), start + at, start + at, h1, np.zeros(len(start), U64), h2)
                 if held.size >= COMBINED:
                     yield from held.flush(False)
         yield from held.flush(False)
 
     marked = _exchange(rows.mapInArrow(send_blocks, SHUFFLED), parts, rule, merge)
     with_open = marked.where("opened").groupBy("fid", "rix").agg(F.collect_list("body").alias("bodies"))
-    candidates = rows.join(small_side(materialize(with_open, "open")), ["fid", "rix"])
-    single = _exchange(candidates.mapInArrow(send_windows, SHUFFLED), parts, rule, merge)
+    candidates = rows.join(materialize(with_open, "open"), ["fid", "rix"])
+    single = _exchange(candidates.mapInArrow(send_windows, SHUFFLED), parts, rule, by_group)
     return marked.unionByName(single).groupBy("fid", "rix").agg(F.collect_list("body").alias("spans"))
 
 
@@ -373,4 +379,4 @@ def covered(spans: list[bytes] | None, length: int, window: int) -> np.ndarray:
 def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``spans`` (NULL: none) of every document."""
     rows = with_row_key(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.join(small_side(materialize(found, "spans")), ["fid", "rix"], "left").select("doc_id", "text", "spans")
+    return rows.join(materialize(found, "spans"), ["fid", "rix"], "left").select("doc_id", "text", "spans")
