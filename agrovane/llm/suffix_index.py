@@ -3,8 +3,8 @@
 Every byte that lies in a 200-byte string which also starts elsewhere is removed, in all places.
 
 The suffix arrays are sparse: of all suffixes they hold those that some 200-byte window picks as its anchor (the position
-with the least hash of the 40 bytes that follow, leftmost of equals), one in about 80 bytes; equal windows pick equal
-anchors, so no match is missed. Arrays are ordered by the hash of the suffix's first 40 bytes and by fingerprints of the
+with the least hash of the 100 bytes that follow, leftmost of equals), one in about 50 bytes; equal windows pick equal
+anchors, so no match is missed. Arrays are ordered by the hash of the suffix's first 100 bytes and by fingerprints of the
 match context, which puts equal suffixes next to each other as a lexicographic order does. (A dense lexicographic array of
 one entry per byte would move several times the input.)
 
@@ -31,7 +31,7 @@ from agrovane.llm import repeats
 from agrovane.llm.common import in_files
 from agrovane.llm.hashing import U64, mix
 
-WINDOW, GRAM = 200, 40
+WINDOW, GRAM = 200, 100
 _BYTE = mix(np.arange(1, 257, dtype=U64))
 
 
