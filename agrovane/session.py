@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Runtime-settable SQL options. Partition counts are upper bounds: AQE coalesces them.
@@ -16,8 +20,24 @@ RECOMMENDED_CONF = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless their search path has it already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    context = spark.sparkContext
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in found or os.getcwd() == root or context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root, name))
+    _shipped.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the recommended options to an existing session and return it."""
+    ship_package(spark)
     for key, value in RECOMMENDED_CONF.items():
         spark.conf.set(key, value)
     return spark
