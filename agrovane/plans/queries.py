@@ -559,32 +559,29 @@ def anomaly_forest_by_crop(spark, sf):
     """One isolation forest per crop."""
     fx = Fixtures(spark, sf)
     normalized = scored(fx).normalized
-    nodes = materialize(isolation.fit_forest(normalized, scope="group", trees=20), "forest")
+    nodes = materialize(isolation.fit_forest(normalized, scope="group"), "forest")
     return isolation.rescale(materialize(isolation.raw_scores(normalized, nodes, scope="group"), "raw-scores"))
 
 
 @query
 def yield_tree(spark, sf):
-    """Boosted trees with interval and drivers, one model for all crops.
-
-    20 of the library's default 200 trees: every tree costs a fixed number of jobs, whatever the rows.
-    """
+    """Boosted trees with interval and drivers, one model for all crops."""
     rows = supervised_table(Fixtures(spark, sf))
-    return trees.predict(rows, trees.fit_models(rows, trees.boosted_trees(20), scope="global"))
+    return trees.predict(rows, trees.fit_models(rows, trees.boosted_trees(), scope="global"))
 
 
 @query
 def yield_tree_forest(spark, sf):
-    """Random forest (depth 12, leaves of 5) with the interval from its single trees; 20 of the default 200 trees."""
+    """Random forest (depth 12, leaves of 5) with the interval from its single trees."""
     rows = supervised_table(Fixtures(spark, sf))
-    return trees.predict(rows, trees.fit_models(rows, trees.random_forest(20), scope="global"))
+    return trees.predict(rows, trees.fit_models(rows, trees.random_forest(), scope="global"))
 
 
 @query
 def yield_drivers(spark, sf):
-    """Importances of a boosted model per crop with at least 50 rows (few trees: 25 distributed fits)."""
+    """Importances of a boosted model per crop with at least 50 rows."""
     rows = supervised_table(Fixtures(spark, sf))
-    return trees.driver_rows(rows, trees.fit_models(rows, trees.boosted_trees(2), parallelism=8))
+    return trees.driver_rows(rows, trees.fit_models(rows, trees.boosted_trees(), parallelism=8))
 
 
 @query
@@ -592,14 +589,14 @@ def yield_mlp(spark, sf):
     """Network prediction with interval."""
     fx = Fixtures(spark, sf)
     rows = supervised.supervised_set(master_table(fx), require_current=False)
-    return network.predict(rows, network.YieldNetwork.fit(rows, max_rounds=30))
+    return network.predict(rows, network.YieldNetwork.fit(rows))
 
 
 @query
 def model_evaluation(spark, sf):
     """Both model kinds on the temporal hold-out."""
     rows = supervised_table(Fixtures(spark, sf))
-    return evaluate_models(rows, trees.boosted_trees(5), max_rounds=10).drop("generado_en")
+    return evaluate_models(rows).drop("generado_en")
 
 
 @query
