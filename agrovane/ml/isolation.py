@@ -79,6 +79,22 @@ def _training_rows(rows: DataFrame, scope: str) -> DataFrame:
     return own.unionByName(_training_rows(rows, "global"))
 
 
+def _samples(rows: DataFrame, columns: list[str], scope: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """The rows of each tree: ``modelo``, ``tree``, ``_rn`` (from 1) and the columns, keys included."""
+    wanted = 2 * sample + 64
+    training = _training_rows(rows, scope)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY), 11)
+    members = training.withColumn("_u", unit).withColumn("_keep", F.lit(float(wanted)) / F.col("_n") * float(2**53))
+    hashed = "shiftrightunsigned(xxhash64(_u, t), 11)"
+    # Most rows are in no tree of a large table, so structs are made only for the trees that are left.
+    trees_of_row = (
+        f"transform(filter(sequence(0, {trees - 1}), t -> {hashed} < _keep), t -> struct(t AS tree, {hashed} AS h))"
+    )
+    drawn = members.select("modelo", *KEY, *columns, F.expr(f"inline({trees_of_row})"))
+    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY, *columns)
+    return drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
+
+
 def fit_forest(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -89,29 +105,13 @@ def fit_forest(
 ) -> DataFrame:
     """Node table of the forest (or of one forest per crop).
 
-    Each tree samples the rows with the smallest hash of (row, tree): the same seed gives the same forest on any
-    cluster. A threshold on the hash keeps about twice the wanted rows on the map side before they are ranked, so a
-    tree never sees more than a few hundred candidates.
+    Each tree samples the rows with the smallest hash of (row, tree) among all rows of its model, at every size: the
+    same seed gives the same forest on any cluster. A threshold on that hash keeps about twice the wanted rows on the
+    map side before they are ranked, so a tree never sees more than a few hundred candidates.
     ``scope="group"`` trains a crop with at least 30 rows on its own rows; ``global`` trains on all rows.
     """
     columns = columns or FEATURE_COLUMNS
-    wanted = 2 * sample + 64
-    training = _training_rows(_filled(df, columns), scope)
-    # Only key columns: a filter on an expression over many computed columns would make Catalyst derive a constraint
-    # for every combination of them.
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY), 11)
-    # All trees draw from one hash-chosen pool, so a large table costs one hash per row; a small one is its own pool.
-    share = F.least(F.lit(1.0), F.lit(float(trees * wanted)) / F.col("_n"))
-    pool = training.withColumn("_u", unit).filter(F.col("_u") < share * float(2**53)).withColumn(
-        "_keep", F.lit(float(wanted)) / (F.col("_n") * share) * float(2**53)
-    )
-    trees_of_row = (
-        f"filter(transform(sequence(0, {trees - 1}), t -> struct(t AS tree, shiftrightunsigned(xxhash64(_u, t), 11) AS h)), "
-        "s -> s.h < _keep)"
-    )
-    drawn = pool.select("modelo", *KEY, *columns, F.expr(f"inline({trees_of_row})"))
-    order = Window.partitionBy("modelo", "tree").orderBy("h", *KEY, *columns)
-    sampled = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
+    sampled = _samples(_filled(df, columns), columns, scope, trees, sample, seed)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_rn")
