@@ -51,8 +51,12 @@ POLICIES = (
     Policy("base", 1, ("few_words", "repeated_trigrams")),
     Policy("web", 1, ("few_words", "repeated_trigrams", "symbols", "duplicate_lines", "short_words", "long_words")),
     Policy("web", 2, tuple(RULES)),
+    # Lines that repeat are no fault of an otherwise clean document; the ledger keeps their bit.
+    Policy("web", 3, tuple(rule for rule in RULES if rule != "duplicate_lines")),
 )
 PRODUCTION = POLICIES[-1]
+#: The policy of op1's ``kept``: all rules, as its SQL has it.
+STRICT = POLICIES[2]
 MEASURES = (
     "n_words",
     "word_chars",
@@ -191,6 +195,6 @@ def ablation(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Dat
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """The ledger under the production policy; see the module for empty, NULL and repeated input."""
+    """The ledger under the strict policy, which its SQL defines; see the module for empty, NULL and repeated input."""
     base = POLICIES[0]
-    return ledger(docs, "doc_id").select("doc_id", *MEASURES, (~passes(base)).alias("base_failed"), passes(PRODUCTION).alias("kept"), "fail_bits")
+    return ledger(docs, "doc_id").select("doc_id", *MEASURES, (~passes(base)).alias("base_failed"), passes(STRICT).alias("kept"), "fail_bits")
