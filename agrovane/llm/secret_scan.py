@@ -2,8 +2,12 @@
 
 ``scan`` finds candidate spans in every whole text, with built-in functions only. ``ownership`` counts, for the hash of
 every candidate value, the distinct repositories and owners that hold it: a value that many owners publish is a copied
-example, one that stays with a single owner and looks random is treated as a live credential. ``redact`` replaces the
-live ones.
+example, one that stays with a single owner and looks random is treated as a live credential. The classes are those of
+op10's SQL, where two owners are enough.
+
+``redact`` asks for more before it leaves a value: copies of one text say nothing about how widely its values are
+known, so owners are counted over distinct contexts (the text before a span), one owner per context. Spans of the base
+kinds are replaced unless that count is wide, weak values included; of the other kinds, those that look random are.
 
 Spans are found in two readings of a text per kind: the texts before each match give the starts, group captures give the
 values. Only texts that hold a keyword of the kind are searched.
@@ -51,11 +55,13 @@ LIVE, SHARED, WEAK = "live", "shared", "weak"
 SHARED_OWNERS = 2
 #: A live-looking value has so many characters, and so many different ones.
 LIVE_LENGTH, LIVE_DISTINCT = 12, 6
+#: Redaction leaves a value that so many owners hold in contexts of their own; a context is so many characters.
+EXAMPLE_OWNERS, CONTEXT = 5, 40
 SALTS = 8
 
 
 def _cast_empty() -> Column:
-    return F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,hash:string,strong:boolean>>")
+    return F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,hash:string,strong:boolean,context:bigint>>")
 
 
 def spans_of(text: Column, lower: Column, kind: str) -> Column:
@@ -81,6 +87,8 @@ def spans_of(text: Column, lower: Column, kind: str) -> Column:
                     (F.char_length(x["value"]) >= LIVE_LENGTH)
                     & (F.size(F.array_distinct(F.split(x["value"], ""))) >= LIVE_DISTINCT)
                 ).alias("strong"),
+                # The text between the match before it and this one, as far as it belongs to the context.
+                F.xxhash64(F.right(x["gap"], F.lit(CONTEXT))).alias("context"),
             )
             more = F.when(F.char_length(x["value"]) >= least, F.array(span)).otherwise(_cast_empty())
             return F.struct(end.alias("at"), F.concat(state["out"], more).alias("out"))
@@ -102,13 +110,17 @@ def scan(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """Per candidate hash: occurrences, distinct repositories and owners, and the class.
+    """Per candidate hash: occurrences, distinct repositories and owners, the class, and whether redaction leaves it.
 
     Equal (hash, owner, repository) rows are folded before any hash meets, and owners are folded per hash before they are
     counted, so a value that stands everywhere costs one row per task and owner.
     """
     each = found.select(F.explode("_spans").alias("s"), owner.alias("o"), repository.alias("r")).select(
-        F.col("s.hash").alias("hash"), F.col("s.strong").alias("strong"), "o", "r"
+        F.col("s.hash").alias("hash"), F.col("s.strong").alias("strong"), F.col("s.context").alias("context"), "o", "r"
+    )
+    by_context = each.groupBy("hash", "context").agg(F.min("o").alias("o"))
+    spread = by_context.groupBy("hash", "o").agg(F.lit(1).alias("one")).groupBy("hash").agg(
+        (F.count(F.lit(1)) >= EXAMPLE_OWNERS).alias("example")
     )
     by_repository = each.groupBy("hash", "o", "r").agg(F.count(F.lit(1)).alias("n"), F.max("strong").alias("strong"))
     by_owner = by_repository.groupBy("hash", "o").agg(
@@ -121,23 +133,24 @@ def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
         F.max("strong").alias("strong"),
     )
     verdict = F.when(F.col("owners") >= SHARED_OWNERS, SHARED).when(F.col("strong"), LIVE).otherwise(WEAK)
-    return counted.withColumn("class", verdict)
+    return counted.withColumn("class", verdict).join(spread, "hash")
 
 
 def judged(found: DataFrame, owners: DataFrame) -> DataFrame:
-    """``found`` (a stored table with a unique ``_row``) with ``classes``: kind, start, end and class of each span.
+    """``found`` (a stored table with a unique ``_row``) with ``classes``: kind, start, end, class and redaction of each span.
 
     Each hash of ``owners`` is spread over a few salts, so a value in a third of all rows meets it in several tasks.
     """
     each = found.select("_row", F.explode("_spans").alias("s")).select(
         "_row", "s.*", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("_salt")
     )
-    spread = owners.select("hash", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    classed = each.join(spread, ["hash", "_salt"])
+    spread = owners.select("hash", "class", "example", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    base = F.col("rank") < len(BASE_KINDS)
+    classed = each.join(spread, ["hash", "_salt"]).withColumn("blank", ~F.col("example") & (base | F.col("strong")))
     grouped = classed.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "class"))).alias("classes")
+        F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "class", "blank"))).alias("classes")
     )
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,class:string>>")
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,class:string,blank:boolean>>")
     return found.join(grouped, "_row", "left").withColumn("classes", F.coalesce("classes", none))
 
 
@@ -150,13 +163,13 @@ def with_verdicts(docs: DataFrame, owner: Column, repository: Column, *carry: st
     found = materialize(scan(docs, *carry).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     holders = found.where(F.size("_spans") > 0)
     owners = ownership(holders, owner, repository)
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,class:string>>")
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,class:string,blank:boolean>>")
     clean = found.where(F.size("_spans") == 0).withColumn("classes", none)
     return judged(holders, owners).unionByName(clean)
 
 
 def redact(text: Column, classes: Column) -> Column:
-    """``text`` with each live span replaced by its kind in brackets; overlapping spans become one."""
+    """``text`` with each span to be redacted replaced by its kind in brackets; overlapping spans become one."""
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
@@ -165,9 +178,9 @@ def redact(text: Column, classes: Column) -> Column:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    live = F.filter(classes, lambda s: s["class"] == LIVE)
-    done = F.aggregate(live, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2147483647)))
-    return F.when(F.size(live) > 0, done).otherwise(text)
+    blank = F.filter(classes, lambda s: s["blank"])
+    done = F.aggregate(blank, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2147483647)))
+    return F.when(F.size(blank) > 0, done).otherwise(text)
 
 
 def owner_columns() -> tuple[Column, Column]:

@@ -38,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; spans that look like live credentials of one owner are replaced by their kind in brackets."""
+    """All documents; secrets that are not widely copied examples are replaced by their kind in brackets."""
     prepare(spark)
     rows = secret_scan.with_verdicts(packed(docs, "text", "source", "lang"), *secret_scan.owner_columns(), "_doc", "source", "lang")
     text = secret_scan.redact(F.col("_doc.text"), F.col("classes"))
