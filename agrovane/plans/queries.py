@@ -84,7 +84,7 @@ def plain_raw_scores(fx: Fixtures) -> DataFrame:
 
 
 def results_table(fx: Fixtures) -> DataFrame:
-    """Result table with closed-form anomaly and yield inputs (the served layer)."""
+    """Result table with closed-form anomaly and yield inputs, so that assembly and serving can be checked in SQL."""
 
     def build() -> DataFrame:
         trees_like = trees.boosted_interval(plain_predictions(fx)).select(
@@ -107,6 +107,11 @@ def results_table(fx: Fixtures) -> DataFrame:
     return stored(fx, "results", build)
 
 
+def fitted_table(fx: Fixtures) -> DataFrame:
+    """Result table of the fitted models, at the library defaults (the served layer)."""
+    return stored(fx, "fitted", lambda: materialize(pipeline.full_results(scored(fx)), "fitted"))
+
+
 def forest_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     """The wide loss tables (all and primary forest)."""
 
@@ -607,78 +612,82 @@ def result_assembly(spark, sf):
 # --- serving ---------------------------------------------------------------------------------------------------
 
 
-def _served(spark, sf) -> tuple[Fixtures, DataFrame, DataFrame]:
-    fx = Fixtures(spark, sf)
-    return fx, results_table(fx), fx.stations()
+def served(function: Callable[[Fixtures, DataFrame, DataFrame], DataFrame]) -> Callable:
+    """Register a serving query as ``fitted_…`` over the fitted results, and by its own name over the closed-form frame
+    that its SQL describes: the arithmetic check of assembly and serving."""
+    for name, table in ((f"fitted_{function.__name__}", fitted_table), (function.__name__, results_table)):
+
+        def run(spark, sf, table=table):
+            fx = Fixtures(spark, sf)
+            return function(fx, table(fx), fx.stations())
+
+        run.__name__, run.__doc__ = name, function.__doc__
+        query(run)
+    return function
 
 
 @query
-def filters(spark, sf):
-    _, results, known = _served(spark, sf)
+def full_results(spark, sf):
+    """The served result table with fitted anomaly, tree and network models."""
+    return fitted_table(Fixtures(spark, sf))
+
+
+@served
+def filters(fx, results, known):
     return serving.filters(results, known)
 
 
-@query
-def ranking(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def ranking(fx, results, known):
     return rounded(serving.ranking(results, known, limit=50))
 
 
-@query
-def ranking_page(spark, sf):
+@served
+def ranking_page(fx, results, known):
     """Second page, ascending, one department."""
-    _, results, known = _served(spark, sf)
     return rounded(serving.ranking(results, known, department="ASIA", order="asc", limit=20, offset=20))
 
 
-@query
-def ranking_search(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def ranking_search(fx, results, known):
     """All rows that a search finds, with and without regard to accents."""
     plain = serving.ranking_rows(results, known, search="nd#1")
     return rounded(plain.unionByName(serving.ranking_rows(results, known, search="nation_2", accent_insensitive=True)))
 
 
-@query
-def ranking_total(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def ranking_total(fx, results, known):
     return serving.ranking_rows(results, known, crop="brand#7").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query
-def map_layer(spark, sf):
-    fx, results, _ = _served(spark, sf)
+@served
+def map_layer(fx, results, known):
     return rounded(serving.map_layer(results, _zones(fx)).drop("feature"))
 
 
-@query
-def zone_history(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def zone_history(fx, results, known):
     columns = [*KEY, "ira_score", "ira_nivel", "anomaly_score", "rendimiento_predicho", "nombre_municipio"]
     return rounded(serving.zone_history(results, known, "00007", crop="brand#3", period="1999").select(*columns))
 
 
-@query
-def crop_history(spark, sf):
-    _, results, _ = _served(spark, sf)
+@served
+def crop_history(fx, results, known):
     return rounded(serving.crop_history(results).select(*KEY, "ira_score", "rendimiento_predicho"))
 
 
-@query
-def latest_per_crop(spark, sf):
-    _, results, _ = _served(spark, sf)
+@served
+def latest_per_crop(fx, results, known):
     return rounded(serving.latest_per_crop(results))
 
 
-@query
-def default_period(spark, sf):
-    _, results, _ = _served(spark, sf)
+@served
+def default_period(fx, results, known):
     return rounded(serving.default_rows(results).select(*KEY, "ira_score", "rendimiento_predicho"))
 
 
-@query
-def general_summary(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def general_summary(fx, results, known):
     summary = serving.general_summary(results, known)
     return rounded(
         summary.select(
@@ -695,9 +704,8 @@ def general_summary(spark, sf):
     )
 
 
-@query
-def report_summary(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def report_summary(fx, results, known):
     return rounded(
         serving.report_summary(results, known).select(
             "codigo_municipio",
@@ -714,9 +722,8 @@ def report_summary(spark, sf):
     )
 
 
-@query
-def crop_context(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def crop_context(fx, results, known):
     return rounded(
         serving.crop_context(results, known, "1999-06-01").select(
             "codigo_municipio",
@@ -735,10 +742,9 @@ def crop_context(spark, sf):
     )
 
 
-@query
-def parsed_drivers(spark, sf):
+@served
+def parsed_drivers(fx, results, known):
     """Stored driver lists; broken JSON becomes NULL."""
-    _, results, _ = _served(spark, sf)
     parsed = serving.parse_top3(F.col("importancia_top3"))
     return results.groupBy("cultivo").agg(
         F.count("importancia_top3").alias("guardados"),
@@ -747,9 +753,8 @@ def parsed_drivers(spark, sf):
     )
 
 
-@query
-def dominant_component(spark, sf):
-    _, results, _ = _served(spark, sf)
+@served
+def dominant_component(fx, results, known):
     rows = serving.dominant_component(serving.latest_rows(results))
     return rounded(rows.select(*KEY, "componente", "valor_componente"))
 
@@ -767,21 +772,18 @@ def _agents(rows: DataFrame) -> DataFrame:
     )
 
 
-@query
-def agent_levels(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def agent_levels(fx, results, known):
     return _agents(serving.agent_rows(results, known, "cultivo"))
 
 
-@query
-def agent_general(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def agent_general(fx, results, known):
     return _agents(serving.agent_rows(results, known, "general"))
 
 
-@query
-def agent_coordinator(spark, sf):
-    _, results, known = _served(spark, sf)
+@served
+def agent_coordinator(fx, results, known):
     return serving.agent_rows(results, known, "cultivo", "1999-06-01").select(
         "codigo_municipio",
         "cultivo",
@@ -805,7 +807,8 @@ def loss_digest(spark, sf):
 
 @query
 def context_documents(spark, sf):
-    fx, results, known = _served(spark, sf)
+    fx = Fixtures(spark, sf)
+    results, known = fitted_table(fx), fx.stations()
     ndvi = climate.ndvi_monthly(clean.clean_ndvi(fx.ndvi_raw()))
     return serving.context_documents(results, known, ndvi, loss_feature_table(fx))
 
