@@ -153,9 +153,58 @@ SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
 FROM d LEFT JOIN l ON n >= 1000 AND d.digest = l.digest
 """
 
+# Grams of 1 to 4 words counted directly within pieces; candidates, cuts, containment and the top list per language.
+_COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, len, array_to_string(w[i:i + len - 1], ' ') AS phrase
+  FROM (SELECT lang, w, len, unnest(generate_series(1, len(w) - len + 1)) AS i
+        FROM w, (VALUES (1), (2), (3), (4)) AS v(len) WHERE len(w) >= len)
+),
+f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY lang, len, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, len, phrase, f AS a FROM f WHERE len >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.*, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp,
+         array_to_string(string_split(phrase, ' ')[k + 1:len], ' ') AS rp
+  FROM c, (VALUES (1), (2), (3)) AS v(k) WHERE k < len
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.len, a, k, fl.f AS l, fr.f AS r,
+         CAST((CAST(a AS HUGEINT) * 2000000) // (fl.f + fr.f) AS BIGINT) AS score
+  FROM cuts JOIN f AS fl ON fl.lang = cuts.lang AND fl.phrase = cuts.lp
+            JOIN f AS fr ON fr.lang = cuts.lang AND fr.phrase = cuts.rp
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1
+),
+inner_parts AS (
+  SELECT c.lang, c.a AS longer, array_to_string(string_split(c.phrase, ' ')[s:s + m - 1], ' ') AS part
+  FROM c, (VALUES (2), (3)) AS u(m), (VALUES (1), (2), (3)) AS v(s) WHERE m < c.len AND s + m - 1 <= c.len
+),
+kept AS (
+  SELECT * FROM best
+  WHERE NOT EXISTS (SELECT 1 FROM inner_parts AS i WHERE i.lang = best.lang AND i.part = best.phrase AND 100 * i.longer >= 80 * best.a)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       score, CAST(k AS BIGINT) AS k, CAST(len AS BIGINT) AS words
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op3_warc": _WARC,
     "op9_mixing": _MIX,
     "op10_secret_scan": _SECRETS,
+    "op13_collocations": _COLLOCATIONS,
 }
