@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agrovane.llm import collocations, decontaminate, license_scan, mixing, polytope, quality_rules, recompression, rule_ensemble, secret_scan, suffix_index, superminhash, warc
+from agrovane.llm import collocations, conversations, decontaminate, license_scan, mixing, polytope, quality_rules, recompression, rule_ensemble, secret_scan, suffix_index, superminhash, warc
 from agrovane.llm.common import prepare, read
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_index": _over(suffix_index.op8, "documents"),
     "op9_mixing": _over(mixing.op9, "documents"),
     "op10_secret_scan": _over(secret_scan.op10, "documents"),
+    "op11_conversation_repair": _over(conversations.op11, "conversations"),
     "op12_polytope": _over(polytope.op12, "embeddings"),
     "op13_collocations": _over(collocations.op13, "documents"),
 }
