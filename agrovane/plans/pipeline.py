@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from agrovane.ml import isolation, network, trees
+from agrovane.ml import histboost, isolation, network, trees
 from agrovane.ml.supervised import supervised_set
 from agrovane.operators.assembly import assemble_results
 from agrovane.operators.clean import socioeconomic
@@ -66,9 +66,10 @@ def full_results(scored: Scored, estimator=None, scope: str = "crop", max_rounds
     nodes = materialize(isolation.fit_forest(normalized), "forest")
     anomalies = isolation.rescale(materialize(isolation.raw_scores(normalized, nodes), "raw-scores"))
     supervised = materialize(supervised_set(scored.master), "supervised")
-    models = trees.fit_models(supervised, estimator or trees.boosted_trees(), scope)
+    # The default learner boosts all crops together; an MLlib estimator fits one model per crop.
+    yields = histboost.predict(histboost.fit(supervised)) if estimator is None else trees.predict(supervised, trees.fit_models(supervised, estimator, scope))
     unfiltered = supervised_set(scored.master, require_current=False)
     fitted = network.YieldNetwork.fit(unfiltered, max_rounds)
     return assemble_results(
-        scored.scores, anomalies, trees.predict(supervised, models), network.predict(unfiltered, fitted)
+        scored.scores, anomalies, yields, network.predict(unfiltered, fitted)
     )
