@@ -72,6 +72,9 @@ for _kind, (_value, _table, _station, _day) in _OBSERVATIONS.items():
 SELECT codigo_municipio, nombre_municipio, {_station} AS estacion,
        CAST({_day} AS DATE) AS fecha, CAST(date_trunc('month', {_day}) AS DATE) AS periodo, {_value} AS valor
 FROM {_table} JOIN fx_stations ON CAST({_station} AS VARCHAR) = codigoestacion"""
+    # Every observation as landed, whether its station is known or not.
+    CTES[f"raw_{_kind}"] = f"""
+SELECT {_station} AS estacion, CAST({_day} AS DATE) AS fecha, {_value} AS valor FROM {_table}"""
 
 CTES["fx_sales"] = """
 SELECT * FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
@@ -401,7 +404,7 @@ _SQL["source_cutoff"] = f"""
 SELECT l_suppkey AS codigoestacion, count(*) AS filas, {r("avg(l_quantity)", "media")}
 FROM lineitem WHERE l_shipdate >= DATE '2001-12-31' - 730 GROUP BY 1"""
 _SQL["newest_readings"] = f"""
-SELECT estacion AS codigoestacion, fecha, {r("valor", "valorobservado")} FROM obs_viento
+SELECT estacion AS codigoestacion, fecha, {r("valor", "valorobservado")} FROM raw_viento
 ORDER BY fecha DESC, estacion, valor LIMIT 600"""
 _SQL["column_synonyms"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS codigoestacion, round((o_orderkey % 1000) / 10, 5) AS latitud,
@@ -417,7 +420,7 @@ SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS rn FROM lineitem)
 WHERE rn = 1"""
 _SQL["landing_profile"] = " UNION ALL ".join(
-    f"SELECT '{k}' AS fuente, count(*) AS filas, min(fecha) AS desde, max(fecha) AS hasta FROM obs_{k}" for k in _OBSERVATIONS
+    f"SELECT '{k}' AS fuente, count(*) AS filas, min(fecha) AS desde, max(fecha) AS hasta FROM raw_{k}" for k in _OBSERVATIONS
 )
 _SQL["name_normalize"] = "SELECT DISTINCT municipio, clave FROM place_keys"
 _SQL["name_match_cascade"] = "SELECT * FROM place_match"
@@ -586,8 +589,11 @@ JOIN nation ON codigo_municipio = {ZONE} JOIN region ON n_regionkey = r_regionke
 _SQL["zone_history"] = f"""
 SELECT codigo_municipio, cultivo, strftime(periodo, '%Y-%m-%d') AS periodo, ira_nivel, nombre_municipio,
        {rs(['ira_score', 'anomaly_score', 'rendimiento_predicho'])}
-FROM result_full LEFT JOIN zone_dim USING (codigo_municipio)
-WHERE codigo_municipio = '00007' AND cultivo = 'brand#3' AND CAST(periodo AS VARCHAR) LIKE '1999%'"""
+FROM result_full LEFT JOIN zone_dim USING (codigo_municipio),
+     (SELECT codigo_municipio AS z, cultivo AS c, strftime(periodo, '%Y') AS y FROM result_full
+      WHERE codigo_municipio IS NOT NULL AND cultivo IS NOT NULL AND periodo IS NOT NULL
+      ORDER BY codigo_municipio, cultivo, periodo LIMIT 1) AS pick
+WHERE codigo_municipio = z AND cultivo = c AND CAST(periodo AS VARCHAR) LIKE y || '%'"""
 _SQL["crop_history"] = f"""
 SELECT {KEYS}, {rs(['ira_score', 'rendimiento_predicho'])} FROM (
   SELECT *, row_number() OVER (PARTITION BY codigo_municipio, cultivo ORDER BY periodo DESC) AS k FROM result_full) WHERE k <= 24"""

@@ -668,7 +668,13 @@ def map_layer(fx, results, known):
 @served
 def zone_history(fx, results, known):
     columns = [*KEY, "ira_score", "ira_nivel", "anomaly_score", "rendimiento_predicho", "nombre_municipio"]
-    return rounded(serving.zone_history(results, known, "00007", crop="brand#3", period="1999").select(*columns))
+    # Zone, crop and year of the first result row, so that every scale has rows to show (one row to the driver).
+    present = results.where(F.col("codigo_municipio").isNotNull() & F.col("cultivo").isNotNull() & F.col("periodo").isNotNull())
+    first = present.agg(F.min(F.struct("codigo_municipio", "cultivo", "periodo")).alias("m")).first()["m"]
+    if first is None:
+        return rounded(serving.zone_history(results.limit(0), known, "").select(*columns))
+    year = str(first["periodo"])[:4]
+    return rounded(serving.zone_history(results, known, first["codigo_municipio"], crop=first["cultivo"], period=year).select(*columns))
 
 
 @served
