@@ -2,7 +2,7 @@
 
 import pytest
 
-from agrovane.ml import evaluation, isolation, network, trees
+from agrovane.ml import evaluation, histboost, isolation, network, trees
 from agrovane.plans import queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,10 +29,14 @@ def asked(spark, monkeypatch):
         def fit_forest(df, columns=None, scope="global", trees=isolation.TREES, **options):
             raise Seen(trees)
 
+        def boost(rows, trees=histboost.TREES, **options):
+            raise Seen(trees)
+
         monkeypatch.setattr(trees, "fit_models", fit_models)
         monkeypatch.setattr(network.YieldNetwork, "fit", staticmethod(fit_network))
         monkeypatch.setattr(queries, "evaluate_models", evaluate)
         monkeypatch.setattr(isolation, "fit_forest", fit_forest)
+        monkeypatch.setattr(histboost, "fit", boost)
         with pytest.raises(Seen) as seen:
             queries.QUERIES[name](spark, FOLDER)
         return seen.value.args[0]
@@ -41,7 +45,9 @@ def asked(spark, monkeypatch):
 
 
 def test_queries_fit_whole_models(asked):
-    assert asked("yield_tree").getMaxIter() == asked("yield_drivers").getMaxIter() == trees.TREES == 200
+    assert asked("yield_tree").getMaxIter() == trees.TREES == 200
+    # All crops are boosted together, with as many trees as MLlib fits per crop.
+    assert asked("yield_drivers") == histboost.TREES == trees.TREES
     assert asked("yield_tree_forest").getNumTrees() == trees.TREES
     assert asked("yield_mlp") == network.MAX_ROUNDS == 500
     estimator, rounds = asked("model_evaluation")
