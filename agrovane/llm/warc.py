@@ -229,7 +229,10 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = manifest.select("path", "size", start.alias("start"))
-    spread = ranges.repartition(F.col("path"), F.col("start"))
+    # One task per byte range: the count is one number, and an explicit count of range partitions is kept by AQE (a
+    # repartition by columns alone would be coalesced to a few tasks, since range rows are tiny).
+    count = ranges.count()
+    spread = ranges.repartitionByRange(max(1, count), F.col("path"), F.col("start"))
     return spread.mapInArrow(scan, RECORDS)
 
 

@@ -72,3 +72,14 @@ def test_archives_are_gzip_streams(pages):
 def test_empty_table(spark):
     prepare(spark)
     assert warc.op3(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_range_is_read_by_a_task_of_its_own(pages):
+    frame = pages[1]
+    manifest = warc.archive(frame)
+    size = 64 * 1024
+    ranges = sum(-(-max(r["size"], 1) // size) for r in manifest.collect())
+    assert ranges > 1
+    got = warc.read(manifest, size)
+    assert got.rdd.getNumPartitions() == ranges
+    assert got.count() == frame.count()
