@@ -6,7 +6,8 @@ all rows when some crop has fewer) and all models grow together:
 
 - features are binned once, against quantile edges of all rows (``BINS`` per feature);
 - per tree level one aggregation keyed by (model, node, feature, bin) sums residuals and counts of the sampled rows,
-  cumulative sums over the bins give every threshold's gain, and the best split of every node is chosen in Spark;
+  cumulative sums over the bins give every threshold's gain, and each feature's best threshold is taken in the same
+  window partition; the best feature of a node is chosen among those (models x nodes x features rows);
 - rows keep their node: the chosen splits (at most models x nodes, a bound of the parameters) become constant arrays
   indexed by model and node, and every row moves to its child by a column expression;
 - the leaves' values come from the last level's sums; a row's new prediction is a column expression (constant arrays
@@ -145,10 +146,18 @@ def fit(
             )
             # A threshold that leaves one side empty has no gain; the node still reports its totals.
             candidates = hist.select("modelo", "node", "feature", "bin", F.when(right_n > 0, gain).alias("gain"), "sl", "nl", "st", "nt")
-            best = candidates.groupBy("modelo", "node").agg(
-                F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "sl", "nl", "st", "nt")).alias("m")
-            )
-            nodes = best.select("modelo", "node", "m.*").collect()
+            # Each feature's best threshold in the partition the window already has (no further shuffle); the best
+            # feature of a node is then chosen among at most models x nodes x features rows, a bound of the parameters.
+            per_feature = F.max(F.struct("gain", (-F.col("bin")).alias("b"), "sl", "nl")).over(side)
+            tops = candidates.withColumn("_m", per_feature).where(F.col("bin") == -F.col("_m.b"))
+            tops = tops.select("modelo", "node", (-F.col("feature")).alias("f"), "_m.gain", "_m.b", "_m.sl", "_m.nl", "st", "nt").collect()
+            picked: dict = {}
+            for r in tops:
+                rank = (r["gain"] is not None, r["gain"] if r["gain"] is not None else 0.0, r["f"], r["b"])
+                key = (r["modelo"], r["node"])
+                if key not in picked or rank > picked[key][0]:
+                    picked[key] = (rank, r)
+            nodes = [r for _, r in picked.values()]
             chosen = [r for r in nodes if r["gain"] is not None and r["gain"] > 1e-12]
             last = level == depth - 1
             for r in chosen:
