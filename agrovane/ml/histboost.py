@@ -11,7 +11,7 @@ all rows when some crop has fewer) and all models grow together:
 - rows keep their node: the chosen splits (at most models x nodes, a bound of the parameters) become constant arrays
   indexed by model and node, and every row moves to its child by a column expression;
 - the leaves' values come from the last level's sums; a row's new prediction is a column expression (constant arrays
-  indexed by model and node, no join), and the rows are stored every ``STORE_EVERY`` trees to cut the lineage.
+  indexed by model and node, no join), and the rows are stored after every tree to cut the lineage.
 
 So a fit takes about ``trees * depth`` jobs whatever the number of crops, and no model meets its rows in one task.
 Squared loss, shrinkage ``STEP``, depth ``DEPTH``, a hash-drawn ``SAMPLE`` of the rows per tree; all features are
@@ -42,7 +42,7 @@ BINS = 32
 MIN_ROWS_PER_CROP = 50
 SEED = 42
 GLOBAL = "*"
-STORE_EVERY = 10  # trees between two stored copies of the rows; in between, predictions are column expressions
+STORE_EVERY = 1  # trees between two stored copies of the rows (measured: every tree is fastest, the lineage stays short)
 
 
 @dataclass
