@@ -4,16 +4,18 @@ MLlib fits one model per crop, each a series of Spark jobs, so the jobs grow wit
 the model it trains (its crop when the crop has at least ``MIN_ROWS_PER_CROP`` rows; the global model ``*`` trains on
 all rows when some crop has fewer) and all models grow together:
 
-- features are binned once, against quantile edges of all rows (``BINS`` per feature);
-- per tree level one aggregation keyed by (model, node, feature, bin) sums residuals and counts of the sampled rows,
-  cumulative sums over the bins give every threshold's gain, and each feature's best threshold is taken in the same
-  window partition; the best feature of a node is chosen among those (models x nodes x features rows);
-- rows keep their node: the chosen splits (at most models x nodes, a bound of the parameters) become constant arrays
-  indexed by model and node, and every row moves to its child by a column expression;
-- the leaves' values come from the last level's sums; a row's new prediction is a column expression (constant arrays
-  indexed by model and node, no join), and the rows are stored after every tree to cut the lineage.
-
-So a fit takes about ``trees * depth`` jobs whatever the number of crops, and no model meets its rows in one task.
+- features are binned once, against quantile edges of all rows (``BINS`` per feature), and the rows are stored as blocks
+  of at most ``BLOCK_ROWS`` rows (bins, target, model), a few models per partition;
+- per tree level one job: every task sums residuals and counts of its sampled rows by (model, node, feature, bin) with
+  NumPy, Spark adds the histograms of a node (features x bins, never rows) by key, and the reducing task takes the node's
+  best threshold from cumulative sums; only the chosen splits (at most models x nodes) reach the driver;
+- tasks route their rows and add up predictions themselves from the trees grown since the blocks were last stored, so a
+  level rewrites no rows; every ``STORE_EVERY`` trees the blocks are stored again with their predictions, which cuts the
+  lineage;
+- leaf values come from the sums of the last level's splits. At the end the trees are sent to the binned rows once, for
+  one prediction per row.
+
+So a fit takes ``trees * depth`` small jobs whatever the number of crops, and no model meets its rows in one task.
 Squared loss, shrinkage ``STEP``, depth ``DEPTH``, a hash-drawn ``SAMPLE`` of the rows per tree; all features are
 offered at every node. Importances are each feature's share of the summed gain of its model. Ties of gain go to the
 smaller feature index, then the smaller bin.
@@ -24,12 +26,16 @@ rows all have one target grows no split (its prediction is the mean); repeated r
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrovane.ml.supervised import ROWS_PER_TASK
 from agrovane.ml.trees import boosted_interval
 from agrovane.scale import materialize, small_side
 from agrovane.sources.schemas import KEY, PREDICTOR_COLUMNS
@@ -42,7 +48,12 @@ BINS = 32
 MIN_ROWS_PER_CROP = 50
 SEED = 42
 GLOBAL = "*"
-STORE_EVERY = 1  # trees between two stored copies of the rows (measured: every tree is fastest, the lineage stays short)
+STORE_EVERY = 20  # trees between two stored copies of the blocks; a task replays at most this many on its rows
+BLOCK_ROWS = 8_192  # rows of a block, so a block's histograms stay below BLOCK_ROWS x features x bins numbers
+MIN_GAIN = 1e-12
+TIE = 1e-9  # share of a gain that is rounding
+SPLIT_SCHEMA = "tree int, modelo string, node long, feature int, bin int, gain double"
+BLOCK_SCHEMA = "n int, bins binary, mi binary, rid binary, target binary, pred binary"
 
 
 @dataclass
@@ -117,93 +128,200 @@ def fit(
     base = rows.groupBy("modelo").agg(F.avg("target").alias("pred"))
     rows = materialize(rows.join(small_side(base), "modelo"), "boost-rows")
 
-    split_schema = "tree int, modelo string, node long, feature int, bin int, gain double"
+    shape = (len(names), len(columns), max((len(e) for e in edges), default=0) + 1)
+    blocks = materialize(_blocks(rows), "boost-blocks")
     found: list[tuple] = []
-    for tree in range(trees):
-        drawn = F.pmod(F.xxhash64("rid", F.lit(tree), F.lit(SEED)), F.lit(1_000_000)) < int(sample * 1_000_000)
-        current = rows.withColumn("_r", F.col("target") - F.col("pred")).withColumn("_in", drawn).withColumn("node", F.lit(1).cast("long"))
-        leaves: list[tuple] = []
-        applied = 0
-        for level in range(depth):
-            hist = (
-                current.where("_in")
-                .select("modelo", "node", "_r", F.posexplode("bins").alias("feature", "bin"))
-                .groupBy("modelo", "node", "feature", "bin")
-                .agg(F.sum("_r").alias("s"), F.count(F.lit(1)).alias("n"))
-            )
-            side = Window.partitionBy("modelo", "node", "feature")
-            left = side.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            hist = hist.select(
-                "*",
-                F.sum("s").over(left).alias("sl"), F.sum("n").over(left).alias("nl"),
-                F.sum("s").over(side).alias("st"), F.sum("n").over(side).alias("nt"),
-            )
-            right_n = F.col("nt") - F.col("nl")
-            gain = (
-                F.col("sl") * F.col("sl") / F.col("nl")
-                + (F.col("st") - F.col("sl")) * (F.col("st") - F.col("sl")) / right_n
-                - F.col("st") * F.col("st") / F.col("nt")
+    forest: list[_Tree] = []
+    stored = 0
+    for tree in range(trees if names else 0):
+        grown = _grow(blocks, forest[stored:], tree, shape, depth, step, sample)
+        found += [(tree, names[m], node, f, b, gain) for m, node, f, b, gain in grown.found]
+        forest.append(grown)
+        if len(forest) - stored == STORE_EVERY and tree + 1 < trees:
+            blocks = materialize(_stepped(blocks, forest[stored:], shape), "boost-blocks")
+            stored = len(forest)
+    splits = spark.createDataFrame(pd.DataFrame(found, columns=["tree", "modelo", "node", "feature", "bin", "gain"]), SPLIT_SCHEMA) if found else spark.createDataFrame([], SPLIT_SCHEMA)
+    return Boosted(_predicted(rows, forest, shape), splits, edges)
+
+
+@dataclass
+class _Tree:
+    """One tree of every model: per level the split feature (-1: none) and bin of each (model, node) slot, then the leaves."""
+
+    features: list[np.ndarray]
+    bins: list[np.ndarray]
+    leaves: np.ndarray
+    found: list[tuple]  # (model, node, feature, bin, gain)
+
+    def slots(self, bins: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """The slot ``model * 2^level + position`` of every row below the levels grown so far; no split sends rows left."""
+        slot = model.astype(np.int64)
+        at = np.arange(len(slot))
+        for feature, threshold in zip(self.features, self.bins, strict=True):
+            f = feature[slot]
+            slot = 2 * slot + ((f >= 0) & (bins[at, f] > threshold[slot]))
+        return slot
+
+    def values(self, bins: np.ndarray, model: np.ndarray) -> np.ndarray:
+        return self.leaves[self.slots(bins, model)]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The rows as NumPy blocks. Partitions follow the models, so that a task has histograms of few of them."""
+    parts = max(1, -(-rows.count() // ROWS_PER_TASK))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            bins = pa.concat_arrays([c.flatten() for c in table["bins"].chunks]).to_numpy().astype(np.int16)
+            kinds = {"mi": np.int32, "rid": np.int64, "target": np.float64, "pred": np.float64}
+            columns = [bins, *[table[c].to_numpy().astype(kind) for c, kind in kinds.items()]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([len(table)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]],
+                names=["n", "bins", *kinds],
             )
-            # A threshold that leaves one side empty has no gain; the node still reports its totals.
-            candidates = hist.select("modelo", "node", "feature", "bin", F.when(right_n > 0, gain).alias("gain"), "sl", "nl", "st", "nt")
-            # Each feature's best threshold in the partition the window already has (no further shuffle); the best
-            # feature of a node is then chosen among at most models x nodes x features rows, a bound of the parameters.
-            per_feature = F.max(F.struct("gain", (-F.col("bin")).alias("b"), "sl", "nl")).over(side)
-            tops = candidates.withColumn("_m", per_feature).where(F.col("bin") == -F.col("_m.b"))
-            tops = tops.select("modelo", "node", (-F.col("feature")).alias("f"), "_m.gain", "_m.b", "_m.sl", "_m.nl", "st", "nt").collect()
-            picked: dict = {}
-            for r in tops:
-                rank = (r["gain"] is not None, r["gain"] if r["gain"] is not None else 0.0, r["f"], r["b"])
-                key = (r["modelo"], r["node"])
-                if key not in picked or rank > picked[key][0]:
-                    picked[key] = (rank, r)
-            nodes = [r for _, r in picked.values()]
-            chosen = [r for r in nodes if r["gain"] is not None and r["gain"] > 1e-12]
-            last = level == depth - 1
-            for r in chosen:
-                found.append((tree, r["modelo"], r["node"], -r["f"], -r["b"], float(r["gain"])))
-            if last:
-                for r in nodes:
-                    if r["gain"] is not None and r["gain"] > 1e-12:
-                        leaves.append((r["modelo"], 2 * r["node"], step * r["sl"] / r["nl"]))
-                        leaves.append((r["modelo"], 2 * r["node"] + 1, step * (r["st"] - r["sl"]) / (r["nt"] - r["nl"])))
-                    else:
-                        leaves.append((r["modelo"], 2 * r["node"], step * r["st"] / r["nt"]))
-            if not chosen and not last:
-                leaves = []
-                break
-            current = current.withColumn("node", _routed(chosen, names, level))
-            applied = level + 1
-        if not leaves:
-            # Leaves of a tree that stopped early: the mean residual of each final node of the sampled rows.
-            stats = current.where("_in").groupBy("modelo", "node").agg(F.avg("_r").alias("v")).collect()
-            leaves = [(r["modelo"], r["node"], step * r["v"]) for r in stats]
-        value = _indexed([(names.index(m), node, v) for m, node, v in leaves], len(names), applied, "double")
-        updated = current.withColumn("pred", F.col("pred") + F.coalesce(value, F.lit(0.0)))
-        rows = updated.select(*KEY, "bins", "target", "modelo", "mi", "rid", "pred")
-        if (tree + 1) % STORE_EVERY == 0:
-            rows = materialize(rows, "boost-rows")
-    rows = materialize(rows, "boost-rows")
-    splits = spark.createDataFrame(found, split_schema)
-    return Boosted(rows.select(*KEY, "modelo", F.col("pred").alias("prediction")), splits, edges)
-
-
-def _indexed(entries: list[tuple[int, int, object]], models: int, level: int, kind: str) -> Column:
-    """The value of a row's (model, node) at ``level`` from a constant array: models x 2^level slots, no join."""
-    width = 1 << level
-    slots: list = [None] * (models * width)
-    for model, node, value in entries:
-        slots[model * width + node - width] = value
-    table = F.from_json(F.lit(json.dumps(slots)), f"array<{kind}>")
-    return F.try_element_at(table, (F.col("mi") * width + F.col("node") - width + 1).cast("int"))
-
-
-def _routed(chosen: list, names: list[str], level: int) -> Column:
-    """Child of every row's node under the chosen splits of ``level``; a node without a split sends its rows left."""
-    feature = _indexed([(names.index(r["modelo"]), r["node"], -r["f"] + 1) for r in chosen], len(names), level, "int")
-    threshold = _indexed([(names.index(r["modelo"]), r["node"], -r["b"]) for r in chosen], len(names), level, "int")
-    right = F.when(feature.isNotNull(), (F.element_at("bins", feature) > threshold).cast("long")).otherwise(F.lit(0).cast("long"))
-    return 2 * F.col("node") + right
+
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK_ROWS):
+                waiting.append(batch.slice(start, BLOCK_ROWS))
+                table = pa.Table.from_batches(waiting)
+                if len(table) >= BLOCK_ROWS:
+                    yield block(table.slice(0, BLOCK_ROWS))
+                    waiting = table.slice(BLOCK_ROWS).to_batches()
+        if sum(map(len, waiting)):
+            yield block(pa.Table.from_batches(waiting))
+
+    placed = rows.repartitionByRange(parts, "mi", "rid").select("bins", "mi", "rid", "target", "pred")
+    return placed.mapInArrow(pack, BLOCK_SCHEMA)
+
+
+def _unpacked(row, features: int) -> tuple[np.ndarray, ...]:
+    """(bins, model, rid, target, prediction) of a block."""
+    return (
+        np.frombuffer(row["bins"], np.int16).reshape(-1, features),
+        np.frombuffer(row["mi"], np.int32),
+        np.frombuffer(row["rid"], np.int64),
+        np.frombuffer(row["target"]),
+        np.frombuffer(row["pred"]),
+    )
+
+
+def _drawn(rid: np.ndarray, tree: int, sample: float) -> np.ndarray:
+    """Rows of the tree's sample: Spark's ``pmod(xxhash64(rid, tree, SEED), 1000000)`` below the share."""
+    return _xxhash64(rid, tree, SEED) % 1_000_000 < int(sample * 1_000_000)
+
+
+def _xxhash64(value: np.ndarray, *more: int) -> np.ndarray:
+    """Spark's ``xxhash64`` of a long column followed by int constants."""
+    p1, p2, p3, p4, p5 = (
+        np.uint64(p)
+        for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    )
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    start = np.full(len(value), 42, np.uint64) + p5 + np.uint64(8)
+    h = mixed(turned(start ^ (turned(value.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+    for number in more:
+        word = np.full(1, number & 0xFFFFFFFF, np.uint64) * p1
+        h = mixed(turned((h + p5 + np.uint64(4)) ^ word, 23) * p2 + p3)
+    return h.view(np.int64)
+
+
+def _grow(blocks: DataFrame, earlier: list[_Tree], tree: int, shape: tuple, depth: int, step: float, sample: float) -> _Tree:
+    """One tree of every model: a job per level. ``earlier`` are the trees that the stored predictions lack."""
+    models, features, bins = shape
+    rdd = blocks.rdd
+    parts = max(1, min(rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism))
+    grown = _Tree([], [], np.zeros(0), [])
+    for level in range(depth):
+        width = 1 << level
+        sums = rdd.flatMap(lambda row, so_far=grown: _histograms(row, earlier, so_far, tree, shape, sample))
+        nodes = sums.reduceByKey(np.add, parts).mapPartitions(_best).collect()
+        feature, threshold = np.full(models * width, -1, np.int16), np.zeros(models * width, np.int16)
+        leaves = np.zeros(2 * models * width)
+        for slot, gain, f, b, sl, nl, st, nt in nodes:
+            if gain > MIN_GAIN:
+                feature[slot], threshold[slot] = f, b
+                grown.found.append((slot >> level, width + slot % width, f, b, gain))
+                leaves[2 * slot], leaves[2 * slot + 1] = step * sl / nl, step * (st - sl) / (nt - nl)
+            else:
+                leaves[2 * slot] = step * st / nt
+        grown = _Tree([*grown.features, feature], [*grown.bins, threshold], leaves, grown.found)
+        if (feature < 0).all():
+            break  # no model splits any further; every row of a node goes left, to the node's own mean
+    return grown
+
+
+def _histograms(row, earlier: list[_Tree], grown: _Tree, tree: int, shape: tuple, sample: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, [sum of residuals, rows] x feature x bin) of every slot that a block has sampled rows of."""
+    _, features, bins = shape
+    x, model, rid, target, pred = _unpacked(row, features)
+    keep = _drawn(rid, tree, sample)
+    x, model, residual = x[keep], model[keep], target[keep] - _advanced(pred[keep], earlier, x[keep], model[keep])
+    present, local = np.unique(grown.slots(x, model), return_inverse=True)
+    cells = ((local[:, None] * features + np.arange(features)) * bins + x).ravel()
+    size = len(present) * features * bins
+    sums = np.bincount(cells, np.repeat(residual, features), size).reshape(-1, features, bins)
+    counts = np.bincount(cells, minlength=size).reshape(-1, features, bins)
+    for k, slot in enumerate(present):
+        yield int(slot), np.stack([sums[k], counts[k]])
+
+
+def _best(nodes: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple]:
+    """The best threshold of every node: (slot, gain, feature, bin, sum and rows of the left side, of the node).
+
+    Ties of gain go to the smaller feature, then the smaller bin; a threshold that leaves a side empty has gain -inf.
+    """
+    for slot, sums in nodes:
+        left_sum, left_n = sums.cumsum(axis=2)
+        sum_all, n_all = left_sum[:, -1:], left_n[:, -1:]
+        right_sum, right_n = sum_all - left_sum, n_all - left_n
+        gain = left_sum * left_sum / np.maximum(left_n, 1) + right_sum * right_sum / np.maximum(right_n, 1) - sum_all * sum_all / n_all
+        gain = np.where((left_n > 0) & (right_n > 0), gain, -np.inf)
+        # Sums arrive in any order: gains that differ by rounding only are a tie.
+        f, b = np.unravel_index((gain >= gain.max() - TIE * abs(gain.max())).argmax(), gain.shape) if gain.max() > 0 else (0, 0)
+        sides = left_sum[f, b], left_n[f, b], sum_all[f, 0], n_all[f, 0]
+        yield slot, float(gain[f, b]), int(f), int(b), *map(float, sides)
+
+
+def _advanced(pred: np.ndarray, grown: list[_Tree], bins: np.ndarray, model: np.ndarray) -> np.ndarray:
+    for tree in grown:
+        pred = pred + tree.values(bins, model)
+    return pred
+
+
+def _stepped(blocks: DataFrame, grown: list[_Tree], shape: tuple) -> DataFrame:
+    """The blocks with the predictions of ``grown`` added."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bins, model, _, _, pred = _unpacked(row, shape[1])
+                row["pred"] = _advanced(pred, grown, bins, model).tobytes()
+                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+
+    return blocks.mapInArrow(step, BLOCK_SCHEMA)
+
+
+def _predicted(rows: DataFrame, forest: list[_Tree], shape: tuple) -> DataFrame:
+    """KEY, modelo, prediction of every row; the trees (models x nodes numbers each) travel with the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def prediction(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for bins, model, pred in parts:
+            x = np.stack(bins.to_numpy()).astype(np.int16) if len(bins) else np.zeros((0, shape[1]), np.int16)
+            yield pd.Series(_advanced(pred.to_numpy(dtype=float), shared.value, x, model.to_numpy()))
+
+    return materialize(rows.select(*KEY, "modelo", prediction("bins", "mi", "pred").alias("prediction")), "boosted")
 
 
 def served(boosted: Boosted) -> DataFrame:

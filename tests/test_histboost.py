@@ -72,3 +72,33 @@ def test_empty(spark):
     df = spark.createDataFrame([], "codigo_municipio string, cultivo string, periodo int, a double, target double")
     got = histboost.fit(df, trees=2, depth=2, columns=["a"])
     assert got.predictions.collect() == []
+
+
+SCHEMA = "codigo_municipio string, cultivo string, periodo int, a double, b double, target double"
+
+
+def test_rows_are_stored_every_few_trees(spark, table, monkeypatch):
+    """A fit stores its rows, their blocks, the blocks again every STORE_EVERY trees, and the predictions: not each tree."""
+    stored, write = [], histboost.materialize
+    monkeypatch.setattr(histboost, "materialize", lambda df, name: stored.append(name) or write(df, name))
+    monkeypatch.setattr(histboost, "BLOCK_ROWS", 50, raising=False)
+    df = spark.createDataFrame(table, SCHEMA)
+    options = {"trees": 5, "depth": 3, "step": 0.5, "sample": 0.7, "bins": 8, "minimum": 100, "columns": ["a", "b"]}
+    monkeypatch.setattr(histboost, "STORE_EVERY", 2)
+    often = {tuple(r)[:4]: r["prediction"] for r in histboost.fit(df, **options).predictions.collect()}
+    assert len(stored) <= 5
+    monkeypatch.setattr(histboost, "STORE_EVERY", 20)
+    once = {tuple(r)[:4]: r["prediction"] for r in histboost.fit(df, **options).predictions.collect()}
+    assert often.keys() == once.keys() and all(abs(often[k] - once[k]) < 1e-9 for k in once)
+
+
+def test_sample_is_drawn_by_spark_hash(spark):
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), 1234567890123]
+    rows = spark.createDataFrame([(i,) for i in ids], "rid long").selectExpr("xxhash64(rid, 7, 42) AS h").collect()
+    assert histboost._xxhash64(np.array(ids), 7, 42).tolist() == [r["h"] for r in rows]
+
+
+def test_constant_target_and_repeated_rows(spark):
+    rows = [("1", "c", 2000, float(k % 3), 0.0, 4.0) for k in range(60)]
+    got = histboost.fit(spark.createDataFrame(rows, SCHEMA), trees=2, depth=2, columns=["a", "b"])
+    assert [r["prediction"] for r in got.predictions.collect()] == [4.0] * 60 and got.splits.collect() == []
