@@ -122,10 +122,11 @@ def match_fuzzy(
     Containment is turned into equality: the subsets of one side are joined with the full set of the other, and the
     candidates of a subset are first reduced to their least name, so a frequent word never yields all pairs. Sets too
     long to enumerate are found through the rarest word of the smaller set and checked in full. An empty key or
-    candidate matches nothing.
+    candidate matches nothing. Both sides are stored once as distinct names: every way reads them, and none of them reads
+    the facts again.
     """
-    keys = keys.filter(F.length("clave") > 0).select("clave").distinct().withColumn("kw", _words(F.col("clave")))
-    names = candidates.filter(F.length("nombre") > 0).select("nombre").distinct().withColumn("cw", _words(F.col("nombre")))
+    keys = materialize(keys.filter(F.length("clave") > 0).select("clave").distinct(), "fuzzy-keys").withColumn("kw", _words(F.col("clave")))
+    names = materialize(candidates.filter(F.length("nombre") > 0).select("nombre").distinct(), "fuzzy-names").withColumn("cw", _words(F.col("nombre")))
     short_key = F.size("kw") <= max_enumerated
     short_name = F.size("cw") <= max_enumerated
 

@@ -262,7 +262,8 @@ def name_match_cascade(spark, sf):
 @query
 def name_match_fuzzy(spark, sf):
     fx = Fixtures(spark, sf)
-    keys = fx.place_mentions().select(normalize_name(F.col("municipio")).alias("clave"))
+    # One normalisation per distinct spelling, not per mention.
+    keys = fx.place_mentions().select("municipio").distinct().select(normalize_name(F.col("municipio")).alias("clave"))
     candidates = names.name_dictionary(fx.place_dictionary()).filter("bare")
     return names.match_fuzzy(keys, candidates)
 

@@ -90,3 +90,11 @@ def test_facts_without_a_department_keep_their_code(spark):
     assert sorted(map(repr, (r["codigo_municipio"] for r in coded.collect()))) == ["'00001'"] * 3 + ["None"]
     assert coded.columns == ["departamento", "municipio", "codigo_municipio"]
     assert tuple(names.match_report(facts, resolved).first()) == (3, 4, 1)
+
+
+def test_fuzzy_reads_its_input_once(spark):
+    """The facts behind the keys are read when the distinct names are stored, not again by every way of matching."""
+    keys = spark.range(6).selectExpr("concat('SAN ', element_at(array('LUIS', 'JOSE'), int(id % 2) + 1)) AS clave")
+    found = names.match_fuzzy(keys, spark.createDataFrame([("LUIS",), ("SAN JOSE DEL MONTE",)], "nombre string"))
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("SAN JOSE", "SAN JOSE DEL MONTE"), ("SAN LUIS", "LUIS")]
