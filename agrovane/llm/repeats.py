@@ -185,13 +185,24 @@ def repeated(table: np.ndarray, content: np.ndarray, rule: str) -> np.ndarray:
     return (table["did"] > least) | same_row
 
 
+def in_order(table: np.ndarray) -> np.ndarray:
+    """Stable order by key, contents, id, row and start. Most keys stand alone, so only the others compare all columns."""
+    order = np.argsort(table["key"])
+    key = table["key"][order]
+    same = key[1:] == key[:-1]
+    shared = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(key) else order
+    some = np.sort(order[shared])
+    order[shared] = some[np.lexsort([table[c][some] for c in ("start", "rix", "fid", "did", "c2", "c1", "key")])]
+    return order
+
+
 def settle(table: np.ndarray, rule: str, found_many: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts ``table`` in place. Masks of the entries that are repeats, that are open, and that go on to the other batches.
 
     One entry per content goes on (with ``later``: those that nothing precedes). If a key has several contents here, they are
     open already, and a single marked entry goes on for the others' sake.
     """
-    table[:] = table[np.lexsort([table[c] for c in ("start", "rix", "fid", "did", "c2", "c1", "key")])]
+    table[:] = table[in_order(table)]
     content, key = groups(table, "key", "c1", "c2"), groups(table, "key")
     dup = repeated(table, content, rule)
     lead = np.ones(len(table), bool)

@@ -122,3 +122,13 @@ def test_index_marks_what_grouping_all_entries_marks():
     # Marked entries are open in their own batch already.
     every = {r: o or m for r, o, m in zip(ours[0]["rix"].tolist(), ours[2].tolist(), ours[0]["many"].tolist(), strict=True)}
     assert all(every[r] for r, o in zip(theirs[0]["rix"].tolist(), theirs[2].tolist(), strict=True) if o)
+
+
+def test_entries_are_ordered_by_all_columns_where_keys_meet():
+    rng = np.random.default_rng(3)
+    for n, keys in ((0, 1), (1, 1), (500, 20), (500, 10**9), (500, 1)):
+        table = np.zeros(n, repeats.ENTRY)
+        for name in repeats.ENTRY.names:
+            table[name] = rng.integers(0, keys if name == "key" else 3, n)
+        order = np.lexsort([table[c] for c in ("start", "rix", "fid", "did", "c2", "c1", "key")])
+        assert (repeats.in_order(table) == order).all()
