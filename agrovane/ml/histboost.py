@@ -6,7 +6,9 @@ all rows when some crop has fewer) and all models grow together:
 
 - features are binned once, against quantile edges of all rows (``BINS`` per feature), and the rows are stored as blocks
   of at most ``BLOCK_ROWS`` rows (bins, target, model), a few models per partition;
-- per tree level one job: every task sums residuals and counts of its sampled rows by (model, node, feature, bin) with
+- a model of at most ``BLOCK_ROWS`` rows is one block: one job grows all trees of all such models, each in the task that
+  holds its block, with the same histograms and thresholds as below;
+- of the larger models, per tree level one job: every task sums residuals and counts of its sampled rows by (model, node, feature, bin) with
   NumPy, Spark adds the histograms of a node (features x bins, never rows) by key, and the reducing task takes the node's
   best threshold from cumulative sums; only the chosen splits (at most models x nodes) reach the driver;
 - tasks route their rows and add up predictions themselves from the trees grown since the blocks were last stored, so a
@@ -15,7 +17,8 @@ all rows when some crop has fewer) and all models grow together:
 - leaf values come from the sums of the last level's splits. At the end the trees are sent to the binned rows once, for
   one prediction per row.
 
-So a fit takes ``trees * depth`` small jobs whatever the number of crops, and no model meets its rows in one task.
+So a fit takes one job for all models of one block and, if there are larger ones, ``trees * depth`` small jobs whatever
+their number; no task ever meets more than a block of a model's rows at once.
 Squared loss, shrinkage ``STEP``, depth ``DEPTH``, a hash-drawn ``SAMPLE`` of the rows per tree; all features are
 offered at every node. Importances are each feature's share of the summed gain of its model. Ties of gain go to the
 smaller feature index, then the smaller bin.
@@ -26,6 +29,7 @@ rows all have one target grows no split (its prediction is the mean); repeated r
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,17 +133,15 @@ def fit(
     rows = materialize(rows.join(small_side(base), "modelo"), "boost-rows")
 
     shape = (len(names), len(columns), max((len(e) for e in edges), default=0) + 1)
-    blocks = materialize(_blocks(rows), "boost-blocks")
-    found: list[tuple] = []
-    forest: list[_Tree] = []
-    stored = 0
-    for tree in range(trees if names else 0):
-        grown = _grow(blocks, forest[stored:], tree, shape, depth, step, sample)
-        found += [(tree, names[m], node, f, b, gain) for m, node, f, b, gain in grown.found]
-        forest.append(grown)
-        if len(forest) - stored == STORE_EVERY and tree + 1 < trees:
-            blocks = materialize(_stepped(blocks, forest[stored:], shape), "boost-blocks")
-            stored = len(forest)
+    sizes = {n: counts[n] if n != GLOBAL else sum(counts.values()) for n in names}
+    small = [m for m, n in enumerate(names) if sizes[n] <= BLOCK_ROWS]
+    forest = [_Tree.empty(shape[0], depth) for _ in range(trees if names else 0)]
+    if small and forest:
+        _grow_whole(rows.where(F.col("mi").isin(small)), len(small), forest, shape, depth, step, sample)
+    if len(small) < len(names):
+        large = [m for m in range(len(names)) if m not in small]
+        _grow_shared(rows.where(F.col("mi").isin(large)), large, forest, shape, depth, step, sample)
+    found = [(tree, names[m], node, f, b, gain) for tree, grown in enumerate(forest) for m, node, f, b, gain in grown.found]
     splits = spark.createDataFrame(pd.DataFrame(found, columns=["tree", "modelo", "node", "feature", "bin", "gain"]), SPLIT_SCHEMA) if found else spark.createDataFrame([], SPLIT_SCHEMA)
     return Boosted(_predicted(rows, forest, shape), splits, edges)
 
@@ -153,6 +155,27 @@ class _Tree:
     leaves: np.ndarray
     found: list[tuple]  # (model, node, feature, bin, gain)
 
+    @classmethod
+    def empty(cls, models: int, depth: int) -> _Tree:
+        """A tree of ``depth`` levels without a split, of value 0."""
+        widths = [models << level for level in range(depth)]
+        return cls([np.full(w, -1, np.int16) for w in widths], [np.zeros(w, np.int16) for w in widths], np.zeros(models << depth), [])
+
+    def place(self, other: _Tree, models: dict[int, int]) -> None:
+        """Take trees of ``other``; ``models`` says which model of this tree each of them is. Other models stay as they are.
+
+        Levels that ``other`` lacks have no splits: its leaves then stand at the left end below their nodes.
+        """
+        own = len(self.features[0]) if self.features else len(self.leaves)
+        lacking = len(self.features) - len(other.features)
+        for k, m in models.items():
+            for level, (feature, threshold) in enumerate(zip(other.features, other.bins, strict=True)):
+                mine, theirs = slice(m << level, (m + 1) << level), slice(k << level, (k + 1) << level)
+                self.features[level][mine], self.bins[level][mine] = feature[theirs], threshold[theirs]
+            have = len(other.features)
+            self.leaves.reshape(own, -1)[m, :: 1 << lacking] = other.leaves[k << have : (k + 1) << have]
+        self.found += [(models[m], *rest) for m, *rest in other.found]
+
     def slots(self, bins: np.ndarray, model: np.ndarray) -> np.ndarray:
         """The slot ``model * 2^level + position`` of every row below the levels grown so far; no split sends rows left."""
         slot = model.astype(np.int64)
@@ -235,37 +258,85 @@ def _xxhash64(value: np.ndarray, *more: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _grow_whole(rows: DataFrame, models: int, forest: list[_Tree], shape: tuple, depth: int, step: float, sample: float) -> None:
+    """Grow every tree of the models that are one block each, in one job, into ``forest``."""
+    _, features, bins = shape
+    trees, alone = len(forest), (1, features, bins)
+
+    def grow(key: tuple, table: pa.Table) -> pa.Table:
+        x = table["bins"].combine_chunks().flatten().to_numpy().reshape(-1, features).astype(np.int16)
+        rid, target, pred = (table[c].to_numpy() for c in ("rid", "target", "pred"))
+        model, out = np.zeros(len(x), np.int32), []
+        for tree in range(trees):
+            keep = _drawn(rid, tree, sample)
+            drawn, residual, none = x[keep], (target - pred)[keep], model[keep]
+            grown = _Tree([], [], np.zeros(0), [])
+            for _ in range(depth):
+                grown = _deeper(grown, list(_best(_summed(drawn, none, residual, grown, alone))), 1, step)
+                if (grown.features[-1] < 0).all():
+                    break
+            pred = pred + grown.values(x, model)
+            out.append(grown)
+        return pa.table({"mi": pa.array([key[0].as_py()], pa.int32()), "trees": pa.array([pickle.dumps(out)], pa.binary())})
+
+    # One partition a model, if the range bounds fall well; they are never coalesced.
+    placed = rows.select("mi", "bins", "rid", "target", "pred").repartitionByRange(models, "mi")
+    for row in placed.groupBy("mi").applyInArrow(grow, "mi int, trees binary").collect():
+        for tree, grown in zip(forest, pickle.loads(row["trees"]), strict=True):
+            tree.place(grown, {0: row["mi"]})
+
+
+def _grow_shared(rows: DataFrame, models: list[int], forest: list[_Tree], shape: tuple, depth: int, step: float, sample: float) -> None:
+    """Grow every tree of the models of many blocks into ``forest``: a job per level, the blocks stored now and then."""
+    blocks, fresh = materialize(_blocks(rows), "boost-blocks"), []
+    for tree, whole in enumerate(forest):
+        grown = _grow(blocks, fresh, tree, shape, depth, step, sample)
+        fresh.append(grown)
+        whole.place(grown, {m: m for m in models})
+        if len(fresh) == STORE_EVERY and tree + 1 < len(forest):
+            blocks, fresh = materialize(_stepped(blocks, fresh, shape), "boost-blocks"), []
+
+
 def _grow(blocks: DataFrame, earlier: list[_Tree], tree: int, shape: tuple, depth: int, step: float, sample: float) -> _Tree:
     """One tree of every model: a job per level. ``earlier`` are the trees that the stored predictions lack."""
-    models, features, bins = shape
     rdd = blocks.rdd
     parts = max(1, min(rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism))
     grown = _Tree([], [], np.zeros(0), [])
-    for level in range(depth):
-        width = 1 << level
+    for _ in range(depth):
         sums = rdd.flatMap(lambda row, so_far=grown: _histograms(row, earlier, so_far, tree, shape, sample))
-        nodes = sums.reduceByKey(np.add, parts).mapPartitions(_best).collect()
-        feature, threshold = np.full(models * width, -1, np.int16), np.zeros(models * width, np.int16)
-        leaves = np.zeros(2 * models * width)
-        for slot, gain, f, b, sl, nl, st, nt in nodes:
-            if gain > MIN_GAIN:
-                feature[slot], threshold[slot] = f, b
-                grown.found.append((slot >> level, width + slot % width, f, b, gain))
-                leaves[2 * slot], leaves[2 * slot + 1] = step * sl / nl, step * (st - sl) / (nt - nl)
-            else:
-                leaves[2 * slot] = step * st / nt
-        grown = _Tree([*grown.features, feature], [*grown.bins, threshold], leaves, grown.found)
-        if (feature < 0).all():
+        grown = _deeper(grown, sums.reduceByKey(np.add, parts).mapPartitions(_best).collect(), shape[0], step)
+        if (grown.features[-1] < 0).all():
             break  # no model splits any further; every row of a node goes left, to the node's own mean
     return grown
 
 
+def _deeper(grown: _Tree, nodes: list[tuple], models: int, step: float) -> _Tree:
+    """The tree with one more level, split as ``nodes`` (from ``_best``) say; a node without a gain sends its rows left."""
+    level = len(grown.features)
+    width = 1 << level
+    feature, threshold = np.full(models * width, -1, np.int16), np.zeros(models * width, np.int16)
+    leaves, found = np.zeros(2 * models * width), []
+    for slot, gain, f, b, sl, nl, st, nt in nodes:
+        if gain > MIN_GAIN:
+            feature[slot], threshold[slot] = f, b
+            found.append((slot >> level, width + slot % width, f, b, gain))
+            leaves[2 * slot], leaves[2 * slot + 1] = step * sl / nl, step * (st - sl) / (nt - nl)
+        else:
+            leaves[2 * slot] = step * st / nt
+    return _Tree([*grown.features, feature], [*grown.bins, threshold], leaves, grown.found + found)
+
+
 def _histograms(row, earlier: list[_Tree], grown: _Tree, tree: int, shape: tuple, sample: float) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, [sum of residuals, rows] x feature x bin) of every slot that a block has sampled rows of."""
-    _, features, bins = shape
-    x, model, rid, target, pred = _unpacked(row, features)
+    x, model, rid, target, pred = _unpacked(row, shape[1])
     keep = _drawn(rid, tree, sample)
     x, model, residual = x[keep], model[keep], target[keep] - _advanced(pred[keep], earlier, x[keep], model[keep])
+    return _summed(x, model, residual, grown, shape)
+
+
+def _summed(x: np.ndarray, model: np.ndarray, residual: np.ndarray, grown: _Tree, shape: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, [sum of residuals, rows] x feature x bin) of every slot that has rows."""
+    _, features, bins = shape
     present, local = np.unique(grown.slots(x, model), return_inverse=True)
     cells = ((local[:, None] * features + np.arange(features)) * bins + x).ravel()
     size = len(present) * features * bins

@@ -1,8 +1,8 @@
 """Feed-forward yield regression trained data-parallel.
 
-Each round every partition takes one pass of mini-batch Adam over its own rows from the shared state; the states are
-averaged by row count in Spark. Rows stay distributed; the driver holds only the parameter vector, whose size depends
-on the layer widths.
+Each round every share (a block of at most ``SHARE_ROWS`` rows) takes one pass of mini-batch Adam over its own rows from
+the common state; the states are averaged by row count in Spark. Rows stay distributed; the driver holds only the
+parameter vector, whose size depends on the layer widths. A round is one job over the stored NumPy blocks.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,9 @@ RATE, BETA1, BETA2, TINY = 1e-3, 0.9, 0.999, 1e-8
 WEIGHT_DECAY = 1e-4
 BATCH = 200
 TOLERANCE = 1e-4
+SHARE_ROWS = 10_000
+FLAT_SUM = 64  # states of up to so many partitions are added in one step, more in a tree
+SHARE_SCHEMA = "n int, x binary, y binary, held binary"
 
 
 def _shapes(inputs: int) -> list[tuple[int, int]]:
@@ -82,50 +84,90 @@ def _initial(inputs: int, seed: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _round(rows: DataFrame, state: np.ndarray, steps: int, inputs: int, seed: int):
-    """One Spark job: local passes from ``state`` and the validation error of ``state`` itself."""
-    size = len(state) // 3
+def _shares(rows: DataFrame) -> DataFrame:
+    """The rows as NumPy blocks: a share is a partition's rows, cut where they are more than ``SHARE_ROWS``."""
     columns = PREDICTOR_COLUMNS
 
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, first, second = (state[i * size : (i + 1) * size].copy() for i in range(3))
-        step, seen, held, sse, total, squares = steps, 0, 0, 0.0, 0.0, 0.0
-        rng = np.random.default_rng([seed, steps])
-        for pdf in batches:
-            x_all, y_all = pdf[columns].to_numpy(dtype=float), pdf["target"].to_numpy(dtype=float)
-            check = pdf["held"].to_numpy(dtype=bool)
-            if check.any():
-                y = y_all[check]
-                miss = _forward(state[:size], x_all[check])[-1][:, 0] - y
-                held, sse = held + len(y), sse + float(miss @ miss)
-                total, squares = total + float(y.sum()), squares + float(y @ y)
-            x, y = x_all[~check], y_all[~check]
-            order = rng.permutation(len(y))
-            for start in range(0, len(y), BATCH):
-                pick = order[start : start + BATCH]
-                grad = _gradient(weights, x[pick], y[pick])
-                step += 1
-                first = BETA1 * first + (1 - BETA1) * grad
-                second = BETA2 * second + (1 - BETA2) * grad * grad
-                scale = RATE * np.sqrt(1 - BETA2**step) / (1 - BETA1**step)
-                weights = weights - scale * first / (np.sqrt(second) + TINY)
-            seen += len(y)
-        vector = np.concatenate([weights, first, second])
-        yield pd.DataFrame(
-            [[vector, float(seen), step - steps, held, sse, total, squares]],
-            columns=["v", "n", "steps", "held", "sse", "total", "squares"],
-        )
-
-    schema = "v array<double>, n double, steps long, held long, sse double, total double, squares double"
-    parts = rows.mapInPandas(train, schema).withColumn("v", array_to_vector("v"))
-    return parts.agg(
-        Summarizer.mean(F.col("v"), F.col("n")).alias("v"),
-        F.max("steps").alias("steps"),
-        F.sum("held").alias("held"),
-        F.sum("sse").alias("sse"),
-        F.sum("total").alias("total"),
-        F.sum("squares").alias("squares"),
-    ).first()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def share() -> pa.RecordBatch:
+            pdf = pa.Table.from_batches(waiting).to_pandas()
+            values = [pdf[columns].to_numpy(dtype=float).tobytes(), pdf["target"].to_numpy(dtype=float).tobytes(), pdf["held"].to_numpy(dtype=bool).tobytes()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([len(pdf)], pa.int32()), *[pa.array([v], pa.binary()) for v in values]],
+                names=["n", "x", "y", "held"],
+            )
+
+        for batch in batches:
+            while len(batch):
+                taken = batch.slice(0, SHARE_ROWS - sum(map(len, waiting)))
+                waiting.append(taken)
+                batch = batch.slice(len(taken))
+                if sum(map(len, waiting)) == SHARE_ROWS:
+                    yield share()
+                    waiting = []
+        if waiting:
+            yield share()
+
+    return rows.select(*columns, "target", "held").mapInArrow(pack, SHARE_SCHEMA)
+
+
+def _unpacked(row, inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["x"]).reshape(-1, inputs), np.frombuffer(row["y"]), np.frombuffer(row["held"], bool)
+
+
+def _pass(share: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, steps: int, seed: int) -> tuple:
+    """One local pass from ``state`` and the validation error of ``state`` itself: (state x rows, rows, steps, held rows,
+    squared error, sum and sum of squares of their target)."""
+    x_all, y_all, check = share
+    size = len(state) // 3
+    weights, first, second = (state[i * size : (i + 1) * size].copy() for i in range(3))
+    step, rng = steps, np.random.default_rng([seed, steps])
+    y = y_all[check]
+    miss = _forward(state[:size], x_all[check])[-1][:, 0] - y
+    measured = len(y), float(miss @ miss), float(y.sum()), float(y @ y)
+    x, y = x_all[~check], y_all[~check]
+    order = rng.permutation(len(y))
+    for start in range(0, len(y), BATCH):
+        pick = order[start : start + BATCH]
+        grad = _gradient(weights, x[pick], y[pick])
+        step += 1
+        first = BETA1 * first + (1 - BETA1) * grad
+        second = BETA2 * second + (1 - BETA2) * grad * grad
+        scale = RATE * np.sqrt(1 - BETA2**step) / (1 - BETA1**step)
+        weights = weights - scale * first / (np.sqrt(second) + TINY)
+    return (np.concatenate([weights, first, second]) * len(y), len(y), step - steps, *measured)
+
+
+def _added(a: tuple, b: tuple) -> tuple:
+    """Two passes together; the rounds' step count follows the longest pass."""
+    return (a[0] + b[0], a[1] + b[1], max(a[2], b[2]), *(p + q for p, q in zip(a[3:], b[3:], strict=True)))
+
+
+def _trained(shares: DataFrame, weights: np.ndarray, max_rounds: int, patience: int, seed: int) -> tuple:
+    """(weights, rounds, validation R²): rounds until the held-out R² has not improved for ``patience`` of them."""
+    rdd, inputs, size = shares.rdd, len(PREDICTOR_COLUMNS), len(weights)
+    depth = 1 if rdd.getNumPartitions() <= FLAT_SUM else 2
+    state, steps = np.concatenate([weights, np.zeros(2 * size)]), 0
+    best, best_weights, stale, done = None, weights, 0, 0
+    for done in range(1, max_rounds + 1):
+        passed = rdd.map(lambda row, state=state, steps=steps: _pass(_unpacked(row, inputs), state, steps, seed))
+        vector, n, took, held, sse, total, squares = passed.treeReduce(_added, depth)
+        if held:
+            spread = squares - total**2 / held
+            score = 1 - sse / spread if spread > 0 else -sse
+            improved = best is None or score > best + TOLERANCE
+            stale = 0 if improved else stale + 1
+            if best is None or score > best:
+                best, best_weights = score, state[:size].copy()
+            if stale > patience:
+                break
+        if n:
+            state, steps = vector / n, steps + took
+        if not held:
+            best_weights = state[:size].copy()
+    return best_weights, done, best
 
 
 @dataclass(frozen=True)
@@ -146,29 +188,11 @@ class YieldNetwork:
         scaler = Standardizer.fit(supervised, PREDICTOR_COLUMNS)
         held = F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(10_000)) < VALIDATION * 10_000
         scaled = scaler.transform(supervised).withColumn("held", held)
-        rows = materialize(
-            sized_for_training(scaled, scaled.count()).select(*PREDICTOR_COLUMNS, "target", "held"), "network-rows"
-        )
-        inputs = len(PREDICTOR_COLUMNS)
-        weights = _initial(inputs, seed)
-        size = len(weights)
-        state, steps = np.concatenate([weights, np.zeros(2 * size)]), 0
-        best, best_weights, stale, done = None, weights, 0, 0
-        for done in range(1, max_rounds + 1):
-            row = _round(rows, state, steps, inputs, seed)
-            if row["held"]:
-                spread = row["squares"] - row["total"] ** 2 / row["held"]
-                score = 1 - row["sse"] / spread if spread > 0 else -row["sse"]
-                improved = best is None or score > best + TOLERANCE
-                stale = 0 if improved else stale + 1
-                if best is None or score > best:
-                    best, best_weights = score, state[:size].copy()
-                if stale > patience:
-                    break
-            state, steps = np.asarray(row["v"].toArray()), steps + int(row["steps"])
-            if not row["held"]:
-                best_weights = state[:size].copy()
-        return cls(scaler, best_weights, done, best)
+        shares = materialize(_shares(sized_for_training(scaled, scaled.count())), "network-shares")
+        weights, rounds, score = _initial(len(PREDICTOR_COLUMNS), seed), 0, None
+        if shares.take(1):
+            weights, rounds, score = _trained(shares, weights, max_rounds, patience, seed)
+        return cls(scaler, weights, rounds, score)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``."""

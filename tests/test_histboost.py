@@ -102,3 +102,22 @@ def test_constant_target_and_repeated_rows(spark):
     rows = [("1", "c", 2000, float(k % 3), 0.0, 4.0) for k in range(60)]
     got = histboost.fit(spark.createDataFrame(rows, SCHEMA), trees=2, depth=2, columns=["a", "b"])
     assert [r["prediction"] for r in got.predictions.collect()] == [4.0] * 60 and got.splits.collect() == []
+
+
+def test_models_of_one_block_take_one_job(spark, table, monkeypatch):
+    """Models of one block are grown whole in their tasks, not by a job per level; both ways give the same trees."""
+    levels, grow = [], histboost._grow
+    monkeypatch.setattr(histboost, "_grow", lambda *a: levels.append(a[2]) or grow(*a))
+    df = spark.createDataFrame(table, SCHEMA)
+    options = {"trees": 4, "depth": 4, "step": 0.5, "sample": 0.7, "bins": 8, "minimum": 100, "columns": ["a", "b"]}
+    alone = histboost.fit(df, **options)
+    assert levels == []
+    # "big" has 120 rows, the global model 160: one of them is one block, then none.
+    for rows in (130, 50):
+        monkeypatch.setattr(histboost, "BLOCK_ROWS", rows)
+        shared = histboost.fit(df, **options)
+        assert levels == [0, 1, 2, 3]
+        levels.clear()
+        found = [{tuple(r)[:4]: r["prediction"] for r in f.predictions.collect()} for f in (alone, shared)]
+        assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
+        assert {tuple(r)[:5] for r in alone.splits.collect()} == {tuple(r)[:5] for r in shared.splits.collect()}

@@ -163,6 +163,22 @@ def test_network_learns_and_round_trips(spark, table, tmp_path):
     assert sorted(map(tuple, network.predict(table, loaded).collect())) == sorted(map(tuple, interval.collect()))
 
 
+def test_network_trains_on_stored_shares(spark, table, monkeypatch):
+    """Rounds read NumPy blocks, cut at SHARE_ROWS, and average them by their rows."""
+    stored, write = [], network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df, name: stored.append((name, write(df, name))) or stored[-1][1])
+    monkeypatch.setattr(network, "SHARE_ROWS", 7)
+    fitted = network.YieldNetwork.fit(table, max_rounds=2)
+    (name, shares), inputs = stored[0], len(network.PREDICTOR_COLUMNS)
+    assert name == "network-shares"
+    blocks = [network._unpacked(r, inputs) for r in shares.collect()]
+    assert sum(len(y) for _, y, _ in blocks) == table.count() and max(len(y) for _, y, _ in blocks) == 7
+    first = network._initial(inputs, network.SEED)
+    passes = [network._pass(b, np.concatenate([first, np.zeros(2 * len(first))]), 0, network.SEED) for b in blocks]
+    mean = sum(p[0] for p in passes) / sum(p[1] for p in passes)
+    assert fitted.rounds == 2 and any(np.allclose(fitted.weights, w) for w in (first, mean[: len(first)]))
+
+
 def test_network_gradient_matches_differences():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(7, 5)), rng.normal(size=7)
