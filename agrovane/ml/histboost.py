@@ -32,6 +32,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ SEED = 42
 GLOBAL = "*"
 STORE_EVERY = 20  # trees between two stored copies of the blocks; a task replays at most this many on its rows
 BLOCK_ROWS = 8_192  # rows of a block, so a block's histograms stay below BLOCK_ROWS x features x bins numbers
+NODES_AT_ONCE = 64  # nodes whose thresholds are searched in one step
 MIN_GAIN = 1e-12
 TIE = 1e-9  # share of a gain that is rounding
 SPLIT_SCHEMA = "tree int, modelo string, node long, feature int, bin int, gain double"
@@ -351,16 +353,21 @@ def _best(nodes: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple]:
 
     Ties of gain go to the smaller feature, then the smaller bin; a threshold that leaves a side empty has gain -inf.
     """
-    for slot, sums in nodes:
-        left_sum, left_n = sums.cumsum(axis=2)
-        sum_all, n_all = left_sum[:, -1:], left_n[:, -1:]
+    while some := list(islice(nodes, NODES_AT_ONCE)):
+        slots, sums = zip(*some, strict=True)
+        left_sum, left_n = np.stack(sums, axis=1).cumsum(axis=3)
+        sum_all, n_all = left_sum[..., -1:], left_n[..., -1:]
         right_sum, right_n = sum_all - left_sum, n_all - left_n
         gain = left_sum * left_sum / np.maximum(left_n, 1) + right_sum * right_sum / np.maximum(right_n, 1) - sum_all * sum_all / n_all
-        gain = np.where((left_n > 0) & (right_n > 0), gain, -np.inf)
+        gain = np.where((left_n > 0) & (right_n > 0), gain, -np.inf).reshape(len(some), -1)
+        most = gain.max(axis=1)
         # Sums arrive in any order: gains that differ by rounding only are a tie.
-        f, b = np.unravel_index((gain >= gain.max() - TIE * abs(gain.max())).argmax(), gain.shape) if gain.max() > 0 else (0, 0)
-        sides = left_sum[f, b], left_n[f, b], sum_all[f, 0], n_all[f, 0]
-        yield slot, float(gain[f, b]), int(f), int(b), *map(float, sides)
+        at = np.where(most > 0, (gain >= (most - TIE * abs(most))[:, None]).argmax(axis=1), 0)
+        bins, node = left_sum.shape[2], np.arange(len(some))
+        f, b = at // bins, at % bins
+        sides = left_sum[node, f, b], left_n[node, f, b], sum_all[node, f, 0], n_all[node, f, 0]
+        columns = (gain[node, at], f, b, *sides)
+        yield from zip(slots, *(c.tolist() for c in columns), strict=True)
 
 
 def _advanced(pred: np.ndarray, grown: list[_Tree], bins: np.ndarray, model: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Each round every share (a block of at most ``SHARE_ROWS`` rows) takes one pass of mini-batch Adam over its own rows from
 the common state; the states are averaged by row count in Spark. Rows stay distributed; the driver holds only the
-parameter vector, whose size depends on the layer widths. A round is one job over the stored NumPy blocks.
+parameter vector, whose size depends on the layer widths. A round is one job over the NumPy blocks, which are stored once and held by the executors between rounds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,13 +147,26 @@ def _added(a: tuple, b: tuple) -> tuple:
 
 
 def _trained(shares: DataFrame, weights: np.ndarray, max_rounds: int, patience: int, seed: int) -> tuple:
-    """(weights, rounds, validation R²): rounds until the held-out R² has not improved for ``patience`` of them."""
-    rdd, inputs, size = shares.rdd, len(PREDICTOR_COLUMNS), len(weights)
+    """(weights, rounds, validation R²): rounds until the held-out R² has not improved for ``patience`` of them.
+
+    The arrays of the stored shares are kept by the executors between rounds (on disk where memory is short); a lost one is
+    read again from the stored table.
+    """
+    inputs = len(PREDICTOR_COLUMNS)
+    rdd = shares.rdd.map(lambda row: _unpacked(row, inputs)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rounds(rdd, weights, max_rounds, patience, seed)
+    finally:
+        rdd.unpersist()
+
+
+def _rounds(rdd: RDD, weights: np.ndarray, max_rounds: int, patience: int, seed: int) -> tuple:
+    size = len(weights)
     depth = 1 if rdd.getNumPartitions() <= FLAT_SUM else 2
     state, steps = np.concatenate([weights, np.zeros(2 * size)]), 0
     best, best_weights, stale, done = None, weights, 0, 0
     for done in range(1, max_rounds + 1):
-        passed = rdd.map(lambda row, state=state, steps=steps: _pass(_unpacked(row, inputs), state, steps, seed))
+        passed = rdd.map(lambda share, state=state, steps=steps: _pass(share, state, steps, seed))
         vector, n, took, held, sse, total, squares = passed.treeReduce(_added, depth)
         if held:
             spread = squares - total**2 / held

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from agrovane.ml import histboost, isolation, network, trees
@@ -62,14 +64,24 @@ def score(master_table: DataFrame, stored: bool = False) -> Scored:
 
 def full_results(scored: Scored, estimator=None, scope: str = "crop", max_rounds: int = network.MAX_ROUNDS) -> DataFrame:
     """Scores with fitted anomaly and yield models: the served result table."""
-    normalized = scored.normalized
-    nodes = materialize(isolation.fit_forest(normalized), "forest")
-    anomalies = isolation.rescale(materialize(isolation.raw_scores(normalized, nodes), "raw-scores"))
-    supervised = materialize(supervised_set(scored.master), "supervised")
-    # The default learner boosts all crops together; an MLlib estimator fits one model per crop.
-    yields = histboost.predict(histboost.fit(supervised)) if estimator is None else trees.predict(supervised, trees.fit_models(supervised, estimator, scope))
-    unfiltered = supervised_set(scored.master, require_current=False)
-    fitted = network.YieldNetwork.fit(unfiltered, max_rounds)
-    return assemble_results(
-        scored.scores, anomalies, yields, network.predict(unfiltered, fitted)
-    )
+
+    def anomalies() -> DataFrame:
+        normalized = scored.normalized
+        nodes = materialize(isolation.fit_forest(normalized), "forest")
+        return isolation.rescale(materialize(isolation.raw_scores(normalized, nodes), "raw-scores"))
+
+    def yields() -> DataFrame:
+        supervised = materialize(supervised_set(scored.master), "supervised")
+        # The default learner boosts all crops together; an MLlib estimator fits one model per crop.
+        if estimator is None:
+            return histboost.predict(histboost.fit(supervised))
+        return trees.predict(supervised, trees.fit_models(supervised, estimator, scope))
+
+    def network_yields() -> DataFrame:
+        unfiltered = supervised_set(scored.master, require_current=False)
+        return network.predict(unfiltered, network.YieldNetwork.fit(unfiltered, max_rounds))
+
+    # The three fits read the stored master only; the network's short rounds leave room for the other two.
+    with ThreadPoolExecutor(3) as pool:
+        fits = [pool.submit(inheritable_thread_target(scored.master.sparkSession)(fit)) for fit in (anomalies, yields, network_yields)]
+        return assemble_results(scored.scores, *[fit.result() for fit in fits])
