@@ -10,7 +10,8 @@ pick the same part form a block; equal windows pick equal parts, so they can onl
 So long copies cost an entry per block, not per token, and only their ends are compared window by window. Entries are
 combined per batch of a map task before they are shuffled: a content that a third of all documents hold costs an entry
 per batch, and a part that stands in many different surroundings sends one marker per batch. What is found is joined back
-to the texts by the place of a row in its file; those two joins move the texts at every size but the smallest.
+to the texts by the place of a row in its file; those two joins move the texts at every size but the smallest. Entries
+travel compressed, and with ``squeezed`` the texts do too.
 
 Two rules decide what a repeat is. ``later``: a window is repeated if an equal one starts earlier (smaller id, or same row and
 smaller start; NULL ids come last, and rows with the same id don't precede each other). ``any``: if an equal one starts
@@ -39,6 +40,8 @@ CHUNK, COMBINED, BLOB = 1 << 19, 400_000, 2_000
 NO_ID = np.iinfo(np.int64).max
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 
+CODEC = "zstd"
+
 ENTRY = np.dtype(
     [("key", "<u8"), ("c1", "<u8"), ("c2", "<u4"), ("did", "<i8"), ("fid", "<i8"), ("rix", "<i8"), ("start", "<u4"), ("end", "<u4"), ("many", "u1")]
 )
@@ -218,16 +221,22 @@ def settle(table: np.ndarray, rule: str, found_many: bool) -> tuple[np.ndarray,
 
 
 def marks(table: np.ndarray, dup: np.ndarray, opened: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows with the marked blocks of each document: start, end and flags."""
+    """Rows with the marked blocks of each document: start, end and flags, to be read by :func:`marked_blocks`.
+
+    Starts go as steps and ends as lengths, in planes of equal bytes: mostly zeros, which files and shuffles compress.
+    """
     flags = dup * DUP + opened * OPEN
     hit = np.flatnonzero(flags)
     if not len(hit):
         return
-    hit = hit[np.lexsort([table["rix"][hit], table["fid"][hit]])]
-    body = np.zeros((len(hit), 3), "<u4")
-    body[:, 0], body[:, 1], body[:, 2] = table["start"][hit], table["end"][hit], flags[hit]
-    fid, rix = table["fid"][hit], table["rix"][hit]
+    hit = hit[np.lexsort([table["start"][hit], table["rix"][hit], table["fid"][hit]])]
+    fid, rix, start = table["fid"][hit], table["rix"][hit], table["start"][hit]
     cut = np.flatnonzero(np.concatenate([[True], (fid[1:] != fid[:-1]) | (rix[1:] != rix[:-1])]))
+    body = np.zeros((len(hit), 3), "<u4")
+    body[:, 0], body[:, 1], body[:, 2] = np.diff(start, prepend=start[:1]), table["end"][hit] - start, flags[hit]
+    body[cut, 0] = start[cut]
+    planes = body.view(np.uint8)
+    opens = np.add.reduceat(body[:, 2] & OPEN, cut) > 0
     bounds = np.append(cut, len(hit))
     for low in range(0, len(cut), 4096):
         some = range(low, min(low + 4096, len(cut)))
@@ -236,25 +245,36 @@ def marks(table: np.ndarray, dup: np.ndarray, opened: np.ndarray) -> Iterator[pa
                 pa.array(np.full(len(some), -1), pa.int32()),
                 pa.array(fid[cut[low : low + 4096]]),
                 pa.array(rix[cut[low : low + 4096]]),
-                pa.array([bool((body[bounds[k] : bounds[k + 1], 2] & OPEN).any()) for k in some], pa.bool_()),
-                pa.array([body[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary()),
+                pa.array(opens[low : low + 4096]),
+                pa.array([planes[bounds[k] : bounds[k + 1]].T.tobytes() for k in some], pa.binary()),
             ],
             COLUMNS,
         )
 
 
+def marked_blocks(bodies: list[bytes] | None) -> np.ndarray:
+    """Start, end and flags of the blocks in the bodies of :func:`marks`."""
+    found = [np.zeros((0, 3), np.int64)]
+    for body in bodies or []:
+        blocks = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(12, -1).T).view("<u4").astype(np.int64)
+        blocks[:, 0] = np.cumsum(blocks[:, 0])
+        found.append(blocks)
+    blocks = np.concatenate(found)
+    blocks[:, 1] += blocks[:, 0]
+    return blocks
+
+
 def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries by part (from their key), column after column, at most :data:`BLOB` in a row."""
+    """Entries by part (from their key), at most :data:`BLOB` in a row."""
     part = (mix(table["key"]) % U64(parts)).astype(np.int32)
-    order = np.lexsort([table["rix"], table["fid"], part])
+    order = np.lexsort([table["start"], table["rix"], table["fid"], part])
     table, part = table[order], part[order]
-    table["end"] -= table["start"]  # small numbers pack well
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
     rows = []
     for low, high in zip(cut, [*cut[1:], len(part)], strict=True):
         for at in range(low, high, BLOB):
             some = table[at : min(at + BLOB, high)]
-            rows.append((int(part[low]), b"".join(np.ascontiguousarray(some[c]).tobytes() for c in ENTRY.names)))
+            rows.append((int(part[low]), pack(some)))
     for at in range(0, len(rows), 64):
         some = rows[at : at + 64]
         none = pa.nulls(len(some), pa.int64())
@@ -262,17 +282,49 @@ def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array([b for _, b in some], pa.binary())], COLUMNS)
 
 
+def squeeze(data: bytes) -> bytes:
+    """``data`` compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec=CODEC, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=CODEC, asbytes=True)
+
+
+def pack(table: np.ndarray) -> bytes:
+    """Entries column after column, each as planes of equal bytes of its numbers; starts as steps, ends as lengths, both small."""
+    columns = {name: np.ascontiguousarray(table[name]) for name in ENTRY.names}
+    columns["end"] = columns["end"] - columns["start"]
+    columns["start"] = np.diff(columns["start"], prepend=columns["start"].dtype.type(0))
+    return squeeze(b"".join(c.view(np.uint8).reshape(len(table), c.itemsize).T.tobytes() for c in columns.values()))
+
+
 def unpack(body: bytes) -> np.ndarray:
+    body = expand(body)
     n = len(body) // ENTRY.itemsize
     table, at = np.empty(n, ENTRY), 0
     for name in ENTRY.names:
         kind = ENTRY.fields[name][0]
-        table[name] = np.frombuffer(body, kind, n, at)
+        planes = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        table[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
         at += n * kind.itemsize
+    table["start"] = np.cumsum(table["start"], dtype=table["start"].dtype)
     table["end"] += table["start"]
     return table
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, fid, rix) with compressed texts, for a join that moves them; :func:`expand` undoes it."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            small = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", small)
+
+    return rows.select("doc_id", "text", "fid", "rix").mapInArrow(shrink, "doc_id long, text binary, fid long, rix long")
+
+
 def by_group(runs: list[np.ndarray], rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All entries of a part, with the masks of repeats and of open blocks."""
     table = np.concatenate(runs)
@@ -320,7 +372,9 @@ def _exchange(sent: DataFrame, parts: int, rule: str, merge: Merge) -> DataFrame
     return done
 
 
-def find(docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Anchors, merge: Merge = by_group) -> DataFrame:
+def find(
+    docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Anchors, merge: Merge = by_group, squeeze_texts: bool = False
+) -> DataFrame:
     """``fid``, ``rix`` and ``spans`` (arrays of marks) of each document with a repeated window."""
     rows = with_row_key(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = max(16, rows.rdd.getNumPartitions())
@@ -349,14 +403,14 @@ def find(docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Ancho
         held = Batch(rule, parts)
         for batch in batches:
             for (row, text), bodies in zip(take(batch), batch.column("bodies").to_pylist(), strict=True):
-                found = np.frombuffer(b"".join(bodies), "<u4").reshape(-1, 3)
+                found = marked_blocks(bodies)
                 # A block can be found open twice, in its batch and among all.
-                found = np.unique(found[found[:, 2] & OPEN > 0, :2], axis=0).astype(np.int64)
+                found = np.unique(found[found[:, 2] & OPEN > 0, :2], axis=0)
                 if not len(found):
                     continue
                 number = len(held.rows)
                 held.rows.append(row)
-                sequence = tokens(text)
+                sequence = tokens(expand(text) if squeeze_texts and text else text)
                 for at in range(0, len(sequence), CHUNK):
                     some = found[(found[:, 0] >= at) & (found[:, 0] < at + CHUNK)]
                     if not len(some):
@@ -372,14 +426,14 @@ def find(docs: DataFrame, window: int, rule: str, tokens: Tokens, anchors: Ancho
 
     marked = _exchange(rows.mapInArrow(send_blocks, SHUFFLED), parts, rule, merge)
     with_open = marked.where("opened").groupBy("fid", "rix").agg(F.collect_list("body").alias("bodies"))
-    candidates = rows.join(materialize(with_open, "open"), ["fid", "rix"])
+    candidates = (squeezed(rows) if squeeze_texts else rows).join(materialize(with_open, "open"), ["fid", "rix"])
     single = _exchange(candidates.mapInArrow(send_windows, SHUFFLED), parts, rule, by_group)
     return marked.unionByName(single).groupBy("fid", "rix").agg(F.collect_list("body").alias("spans"))
 
 
 def covered(spans: list[bytes] | None, length: int, window: int) -> np.ndarray:
     """Which of ``length`` tokens lie in a repeated window."""
-    found = np.frombuffer(b"".join(spans or []), "<u4").reshape(-1, 3).astype(np.int64)
+    found = marked_blocks(spans)
     found = found[found[:, 2] & DUP > 0]
     step = np.zeros(length + 1, np.int64)
     np.add.at(step, found[:, 0], 1)
@@ -387,7 +441,8 @@ def covered(spans: list[bytes] | None, length: int, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def join_back(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``spans`` (NULL: none) of every document."""
+def join_back(docs: DataFrame, found: DataFrame, squeeze_texts: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` (compressed, with ``squeeze_texts``) and ``spans`` (NULL: none) of every document."""
     rows = with_row_key(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = squeezed(rows) if squeeze_texts else rows
     return rows.join(materialize(found, "spans"), ["fid", "rix"], "left").select("doc_id", "text", "spans")

@@ -121,17 +121,18 @@ def merge(runs: list[np.ndarray], rule: str) -> tuple[np.ndarray, np.ndarray, np
 
 def find(docs: DataFrame) -> DataFrame:
     """Repeated windows of each document of ``docs``, which are in files."""
-    return repeats.find(docs, WINDOW, repeats.ANY, tokens, anchors, merge)
+    return repeats.find(docs, WINDOW, repeats.ANY, tokens, anchors, merge, squeeze_texts=True)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = np.frombuffer(text or b"", np.uint8)
+        for packed, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            text = repeats.expand(packed) if packed else b""
+            data = np.frombuffer(text, np.uint8)
             gone = repeats.covered(spans, len(data), WINDOW)
             runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = data[~gone].tobytes() if runs else (text or b"")
+            kept = data[~gone].tobytes() if runs else text
             out.append((len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
@@ -142,7 +143,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """Every document with the bytes that are left of it (``kept``)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     docs = in_files(docs)
-    return repeats.join_back(docs, find(docs)).mapInArrow(_kept, schema)
+    return repeats.join_back(docs, find(docs), squeeze_texts=True).mapInArrow(_kept, schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

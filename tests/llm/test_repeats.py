@@ -132,3 +132,56 @@ def test_entries_are_ordered_by_all_columns_where_keys_meet():
             table[name] = rng.integers(0, keys if name == "key" else 3, n)
         order = np.lexsort([table[c] for c in ("start", "rix", "fid", "did", "c2", "c1", "key")])
         assert (repeats.in_order(table) == order).all()
+
+
+def test_entries_travel_in_few_bytes():
+    """Window entries cost what their fingerprints do (12 bytes) and little more, and arrive unchanged."""
+    rng = np.random.default_rng(4)
+    n = 50_000
+    table = np.zeros(n, repeats.ENTRY)
+    table["key"], table["c2"] = rng.integers(0, 1 << 63, n), rng.integers(0, 1 << 32, n)
+    table["fid"], table["rix"] = -5, np.arange(n) // 1000
+    table["start"] = table["end"] = np.arange(n) % 1000 + 200
+    table["end"] += (np.arange(n) % 3).astype("<u4")
+    sent = [b for batch in repeats.blobs(rng.permutation(table), 16) for b in batch.column("body").to_pylist()]
+    assert sum(map(len, sent)) < 16 * n
+    assert (np.sort(np.concatenate([repeats.unpack(b) for b in sent]), order="key") == np.sort(table, order="key")).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 7])
+def test_packed_entries_of_any_order(n):
+    rng = np.random.default_rng(n)
+    table = np.zeros(n, repeats.ENTRY)
+    for name in repeats.ENTRY.names:
+        table[name] = rng.integers(0, 100, n)
+    table["start"] = rng.permutation(np.linspace(0, (1 << 32) - 200, n).astype(np.uint32))
+    table["end"] += table["start"]
+    assert (repeats.unpack(repeats.pack(table)) == table).all()
+
+
+def test_texts_travel_compressed(frame):
+    texts = [None, "", "a", "ñandú \x00", "the same words again " * 500]
+    rows = frame([(k, t) for k, t in enumerate(texts)])
+    keyed = repeats.with_row_key(suffix_index.in_files(rows), "doc_id", "text")
+    found = {r["doc_id"]: r["text"] for r in repeats.squeezed(keyed).collect()}
+    assert [None if found[k] is None else repeats.expand(found[k]).decode() for k in range(5)] == texts
+    assert len(found[4]) < 200
+
+
+def test_marks_travel_in_few_bytes():
+    """Marked windows of many documents, most of them near the one before, cost little when they are compressed."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    table = np.zeros(n, repeats.ENTRY)
+    table["fid"], table["rix"] = 3, rng.integers(0, 400, n)
+    table["start"] = rng.choice(100 * n, n, replace=False) % 20_000
+    table["end"] = table["start"] + rng.integers(0, 2, n).astype("<u4")
+    dup, opened = rng.random(n) < 0.7, rng.random(n) < 0.1
+    batches = list(repeats.marks(table, dup, opened))
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    got = sorted((r["rix"], *block) for r in rows for block in repeats.marked_blocks([r["body"]]).tolist())
+    flags = dup * repeats.DUP + opened * repeats.OPEN
+    assert got == sorted((int(e["rix"]), int(e["start"]), int(e["end"]), int(f)) for e, f in zip(table, flags, strict=True) if f)
+    assert all(r["opened"] == bool((repeats.marked_blocks([r["body"]])[:, 2] & repeats.OPEN).any()) for r in rows)
+    assert len(repeats.squeeze(b"".join(r["body"] for r in rows))) < 4 * len(got)
+    assert len(repeats.marked_blocks(None)) == len(repeats.marked_blocks([])) == 0
