@@ -9,9 +9,10 @@ pick the same part form a block; equal windows pick equal parts, so they can onl
 
 So long copies cost an entry per block, not per token, and only their ends are compared window by window. Entries are
 combined per batch of a map task before they are shuffled: a content that a third of all documents hold costs an entry
-per batch, and a part that stands in many different surroundings sends one marker per batch. What is found is joined back
-to the texts by the place of a row in its file; those two joins move the texts at every size but the smallest. Entries
-travel compressed, and with ``squeezed`` the texts do too.
+per batch, and a part that stands in many different surroundings sends one marker per batch. The key space is cut into as
+many parts as the bytes of the texts, and later the open windows, ask for, so that what a reducing task holds at once is the same
+at every size. What is found is joined back to the texts by the place of a row in its file; those two joins move the texts
+at every size but the smallest. Entries travel compressed, and with ``squeezed`` the texts do too.
 
 Two rules decide what a repeat is. ``later``: a window is repeated if an equal one starts earlier (smaller id, or same row and
 smaller start; NULL ids come last, and rows with the same id don't precede each other). ``any``: if an equal one starts
@@ -36,7 +37,9 @@ from agrovane.scale import materialize
 LATER, ANY = "later", "any"
 DUP, OPEN = 1, 2
 #: Tokens handled at once, entries combined at once, entries per shuffled row.
-CHUNK, COMBINED, BLOB = 1 << 19, 400_000, 2_000
+CHUNK, COMBINED, BLOB = 1 << 18, 400_000, 2_000
+#: Bytes of text whose blocks, and number of windows, that make a part of the key space: what a reducing task holds at once.
+PART_BYTES, PART_WINDOWS, LEAST_PARTS = 12 << 20, 600_000, 16
 NO_ID = np.iinfo(np.int64).max
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 
@@ -45,8 +48,11 @@ CODEC = "zstd"
 ENTRY = np.dtype(
     [("key", "<u8"), ("c1", "<u8"), ("c2", "<u4"), ("did", "<i8"), ("fid", "<i8"), ("rix", "<i8"), ("start", "<u4"), ("end", "<u4"), ("many", "u1")]
 )
-SHUFFLED = "part int, fid long, rix long, opened boolean, body binary"
-COLUMNS = ["part", "fid", "rix", "opened", "body"]
+MARK = np.dtype([*((name, ENTRY.fields[name][0]) for name in ("fid", "rix", "start", "end")), ("flags", "u1")])
+#: Entries by the part of their key, and settled marks by the part of their row; then the marks of each row.
+SHUFFLED = "part int, settled boolean, body binary"
+COLUMNS = ["part", "settled", "body"]
+FOUND = "fid long, rix long, opened boolean, windows long, body binary"
 
 
 @lru_cache(maxsize=4)
@@ -151,7 +157,8 @@ class Batch:
 
     def add(self, number, start, end, key, c1, c2) -> None:
         table = np.zeros(len(key), ENTRY)
-        ids = np.array(self.rows, np.int64)[number]
+        first = int(number.min(initial=len(self.rows)))
+        ids = np.array(self.rows[first:], np.int64).reshape(-1, 3)[number - first]
         table["did"] = ids[:, 0] if self.rule == LATER else 0
         table["fid"], table["rix"] = ids[:, 1], ids[:, 2]
         table["start"], table["end"], table["key"], table["c1"], table["c2"] = start, end, key, c1, c2
@@ -162,7 +169,7 @@ class Batch:
         if self.entries:
             table = np.concatenate(self.entries)
             dup, opened, sent = settle(table, self.rule, found_many)
-            yield from marks(table, dup, opened)
+            yield from bundles(marked(table, dup, opened), self.parts)
             yield from blobs(table[sent], self.parts)
         self.rows, self.entries, self.size = [], [], 0
 
@@ -221,7 +228,8 @@ def settle(table: np.ndarray, rule: str, found_many: bool) -> tuple[np.ndarray,
 
 
 def marks(table: np.ndarray, dup: np.ndarray, opened: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows with the marked blocks of each document: start, end and flags, to be read by :func:`marked_blocks`.
+    """Rows with the marked blocks of each document: start, end and flags, to be read by :func:`marked_blocks`; ``windows`` counts the
+    windows of the open ones.
 
     Starts go as steps and ends as lengths, in planes of equal bytes: mostly zeros, which files and shuffles compress.
     """
@@ -236,19 +244,19 @@ def marks(table: np.ndarray, dup: np.ndarray, opened: np.ndarray) -> Iterator[pa
     body[:, 0], body[:, 1], body[:, 2] = np.diff(start, prepend=start[:1]), table["end"][hit] - start, flags[hit]
     body[cut, 0] = start[cut]
     planes = body.view(np.uint8)
-    opens = np.add.reduceat(body[:, 2] & OPEN, cut) > 0
+    opens = np.add.reduceat(np.where(body[:, 2] & OPEN, body[:, 1].astype(np.int64) + 1, 0), cut)
     bounds = np.append(cut, len(hit))
     for low in range(0, len(cut), 4096):
         some = range(low, min(low + 4096, len(cut)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(len(some), -1), pa.int32()),
                 pa.array(fid[cut[low : low + 4096]]),
                 pa.array(rix[cut[low : low + 4096]]),
+                pa.array(opens[low : low + 4096] > 0),
                 pa.array(opens[low : low + 4096]),
                 pa.array([planes[bounds[k] : bounds[k + 1]].T.tobytes() for k in some], pa.binary()),
             ],
-            COLUMNS,
+            ["fid", "rix", "opened", "windows", "body"],
         )
 
 
@@ -264,12 +272,13 @@ def marked_blocks(bodies: list[bytes] | None) -> np.ndarray:
     return blocks
 
 
-def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries by part (from their key), at most :data:`BLOB` in a row."""
-    part = (mix(table["key"]) % U64(parts)).astype(np.int32)
+def in_parts(table: np.ndarray, part: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of a table by part, at most :data:`BLOB` in a shuffled one."""
+    if not len(table):
+        return
     order = np.lexsort([table["start"], table["rix"], table["fid"], part])
     table, part = table[order], part[order]
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     rows = []
     for low, high in zip(cut, [*cut[1:], len(part)], strict=True):
         for at in range(low, high, BLOB):
@@ -277,9 +286,29 @@ def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
             rows.append((int(part[low]), pack(some)))
     for at in range(0, len(rows), 64):
         some = rows[at : at + 64]
-        none = pa.nulls(len(some), pa.int64())
-        columns = [pa.array([p for p, _ in some], pa.int32()), none, none, pa.nulls(len(some), pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([b for _, b in some], pa.binary())], COLUMNS)
+        columns = [pa.array([p for p, _ in some], pa.int32()), pa.array([settled] * len(some)), pa.array([b for _, b in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, COLUMNS)
+
+
+def blobs(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries by part (from their key)."""
+    return in_parts(table, (mix(table["key"]) % U64(parts)).astype(np.int32), False)
+
+
+def marked(table: np.ndarray, dup: np.ndarray, opened: np.ndarray) -> np.ndarray:
+    """The marks of a table's entries."""
+    hit = np.flatnonzero(dup | opened)
+    some = np.empty(len(hit), MARK)
+    for name in ("fid", "rix", "start", "end"):
+        some[name] = table[name][hit]
+    some["flags"] = dup[hit] * DUP + opened[hit] * OPEN
+    return some
+
+
+def bundles(table: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Marks by part (from the row they belong to), so that what many tasks find in a row meets without a shuffled row for each of them."""
+    row = mix(table["fid"].astype(U64) ^ mix(table["rix"].astype(U64)))
+    return in_parts(table, (row % U64(parts)).astype(np.int32), True)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -292,19 +321,19 @@ def expand(data: bytes) -> bytes:
 
 
 def pack(table: np.ndarray) -> bytes:
-    """Entries column after column, each as planes of equal bytes of its numbers; starts as steps, ends as lengths, both small."""
-    columns = {name: np.ascontiguousarray(table[name]) for name in ENTRY.names}
+    """Entries or marks column after column, each as planes of equal bytes of its numbers; starts as steps, ends as lengths, both small."""
+    columns = {name: np.ascontiguousarray(table[name]) for name in table.dtype.names}
     columns["end"] = columns["end"] - columns["start"]
     columns["start"] = np.diff(columns["start"], prepend=columns["start"].dtype.type(0))
     return squeeze(b"".join(c.view(np.uint8).reshape(len(table), c.itemsize).T.tobytes() for c in columns.values()))
 
 
-def unpack(body: bytes) -> np.ndarray:
+def unpack(body: bytes, rows: np.dtype = ENTRY) -> np.ndarray:
     body = expand(body)
-    n = len(body) // ENTRY.itemsize
-    table, at = np.empty(n, ENTRY), 0
-    for name in ENTRY.names:
-        kind = ENTRY.fields[name][0]
+    n = len(body) // rows.itemsize
+    table, at = np.empty(n, rows), 0
+    for name in rows.names:
+        kind = rows.fields[name][0]
         planes = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         table[name] = np.ascontiguousarray(planes.T).view(kind).ravel()
         at += n * kind.itemsize
@@ -326,8 +355,9 @@ def squeezed(rows: DataFrame) -> DataFrame:
 
 
 def by_group(runs: list[np.ndarray], rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a part, with the masks of repeats and of open blocks."""
+    """All entries of a part, with the masks of repeats and of open blocks. Empties ``runs``."""
     table = np.concatenate(runs)
+    runs.clear()
     marked = np.unique(table["key"][table["many"] > 0])
     dup, opened, _ = settle(table, rule, True)
     known = np.isin(table["key"], marked)
@@ -342,32 +372,59 @@ def by_group(runs: list[np.ndarray], rule: str) -> tuple[np.ndarray, np.ndarray,
 Merge = Callable[[list[np.ndarray], str], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def number_of_parts(amount: int | None, most: int) -> int:
+    """Parts of the key space that hold about ``most`` of ``amount`` at the most."""
+    return max(LEAST_PARTS, -(-(amount or 0) // most))
+
+
 def _exchange(sent: DataFrame, parts: int, rule: str, merge: Merge) -> DataFrame:
-    """Entries of all batches brought together by part; returns the stored marks (fid, rix, body)."""
+    """Entries of all batches brought together by part, and their marks by row; returns the stored marks, one row (:data:`FOUND`) for
+    each row of the documents that has some."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         current = None
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done(last: bool = False) -> Iterator[pa.RecordBatch]:
             if runs:
-                yield from marks(*merge(runs, rule))
+                held.append(marked(*merge(runs, rule)))
+            if held and (last or sum(map(len, held)) >= COMBINED):
+                yield from bundles(np.concatenate(held), parts)
+                held.clear()
 
         for batch in batches:
-            settled = batch.column("fid").is_valid()
-            yield batch.filter(settled)
-            sent = batch.filter(pc.invert(settled))
-            for part, body in zip(sent.column("part").to_pylist(), sent.column("body").to_pylist(), strict=True):
+            yield batch.filter(batch.column("settled"))
+            entries = batch.filter(pc.invert(batch.column("settled")))
+            for part, body in zip(entries.column("part").to_pylist(), entries.column("body").to_pylist(), strict=True):
                 if part != current:
                     yield from done()
                     runs, current = [], part
                 runs.append(unpack(body))
+        yield from done(True)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        current = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = np.concatenate(held)
+                yield from marks(table, table["flags"] & DUP > 0, table["flags"] & OPEN > 0)
+
+        for batch in batches:
+            for part, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if part != current:
+                    yield from done()
+                    held, current = [], part
+                held.append(unpack(body, MARK))
         yield from done()
 
-    to = F.when(F.col("part") < 0, F.pmod(F.xxhash64("fid", "rix"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    dealt = sent.withColumn("part", to).repartition("part").sortWithinPartitions(F.col("part"), F.col("fid").isNull())
-    done = materialize(dealt.mapInArrow(reduce, SHUFFLED).select("fid", "rix", "opened", "body"), "marks")
-    del sent, dealt
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("part").sortWithinPartitions("part")
+
+    done = materialize(dealt(dealt(sent).mapInArrow(reduce, SHUFFLED)).mapInArrow(gather, FOUND), "marks")
+    del sent
     let_go(done.sparkSession)
     return done
 
@@ -377,7 +434,7 @@ def find(
 ) -> DataFrame:
     """``fid``, ``rix`` and ``spans`` (arrays of marks) of each document with a repeated window."""
     rows = with_row_key(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = max(16, rows.rdd.getNumPartitions())
+    parts = number_of_parts(docs.agg(F.sum(F.octet_length("text"))).first()[0], PART_BYTES)
 
     def take(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bytes]]:
         ids = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fid", "rix")), strict=True)
@@ -400,7 +457,7 @@ def find(
         yield from held.flush()
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Batch(rule, parts)
+        held = Batch(rule, window_parts)
         for batch in batches:
             for (row, text), bodies in zip(take(batch), batch.column("bodies").to_pylist(), strict=True):
                 found = marked_blocks(bodies)
@@ -424,11 +481,12 @@ def find(
                     yield from held.flush(False)
         yield from held.flush(False)
 
-    marked = _exchange(rows.mapInArrow(send_blocks, SHUFFLED), parts, rule, merge)
-    with_open = marked.where("opened").groupBy("fid", "rix").agg(F.collect_list("body").alias("bodies"))
-    candidates = (squeezed(rows) if squeeze_texts else rows).join(materialize(with_open, "open"), ["fid", "rix"])
-    single = _exchange(candidates.mapInArrow(send_windows, SHUFFLED), parts, rule, by_group)
-    return marked.unionByName(single).groupBy("fid", "rix").agg(F.collect_list("body").alias("spans"))
+    found = _exchange(rows.mapInArrow(send_blocks, SHUFFLED), parts, rule, merge)
+    with_open = found.where("opened").select("fid", "rix", "windows", F.array("body").alias("bodies"))
+    window_parts = number_of_parts(with_open.agg(F.sum("windows")).first()[0], PART_WINDOWS)
+    candidates = (squeezed(rows) if squeeze_texts else rows).join(with_open.drop("windows"), ["fid", "rix"])
+    single = _exchange(candidates.mapInArrow(send_windows, SHUFFLED), window_parts, rule, by_group)
+    return found.unionByName(single).groupBy("fid", "rix").agg(F.collect_list("body").alias("spans"))
 
 
 def covered(spans: list[bytes] | None, length: int, window: int) -> np.ndarray:

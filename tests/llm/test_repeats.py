@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from agrovane.llm import recompression, repeats, suffix_index
+from agrovane.llm.common import prepare
 
 LAST = 1 << 62
 
@@ -185,3 +186,35 @@ def test_marks_travel_in_few_bytes():
     assert all(r["opened"] == bool((repeats.marked_blocks([r["body"]])[:, 2] & repeats.OPEN).any()) for r in rows)
     assert len(repeats.squeeze(b"".join(r["body"] for r in rows))) < 4 * len(got)
     assert len(repeats.marked_blocks(None)) == len(repeats.marked_blocks([])) == 0
+
+
+@pytest.mark.parametrize(("op", "brute"), [(recompression.op4, later), (suffix_index.op8, anywhere)])
+def test_parts_follow_the_input(frame, corpus, rows, monkeypatch, op, brute):
+    """What a reducing task holds at once is bounded by more parts, for blocks and for windows, whatever the number of files."""
+    small = [(i, t and t[:3000], *s) for i, t, *s in corpus]
+    used, exchange = [], repeats._exchange
+    monkeypatch.setattr(repeats, "_exchange", lambda sent, parts, *rest: used.append(parts) or exchange(sent, parts, *rest))
+    assert rows(op(frame(small))) == brute(small) and used == [16, 16]
+    monkeypatch.setattr(repeats, "PART_BYTES", 2000)
+    monkeypatch.setattr(repeats, "PART_WINDOWS", 40)
+    assert rows(op(frame(small))) == brute(small)
+    assert used[2] == -(-sum(len((t or "").encode()) for _, t, *_ in small) // 2000) and used[3] > 16
+
+
+def test_marks_of_many_tasks_share_rows(spark):
+    """A document that many reducing tasks mark has one row for all of them, with the number of its open windows."""
+    prepare(spark)
+
+    def send(batches):
+        for part in (p for batch in batches for p in batch.column("id").to_pylist()):
+            table = np.zeros(40, repeats.ENTRY)
+            table["key"], table["fid"], table["rix"] = np.arange(40) // 2 + 100 * part, -1, np.arange(40) // 4
+            table["start"] = 1000 * part + np.arange(40)
+            table["end"] = table["start"] + 4
+            table["c2"] = np.where(np.arange(40) % 4 < 2, 0, np.arange(40))
+            yield from repeats.blobs(table, 16)
+
+    sent = spark.range(30).repartition(5).mapInArrow(send, repeats.SHUFFLED)
+    found = repeats._exchange(sent, 16, repeats.ANY, repeats.by_group)
+    got = sorted((r["fid"], r["rix"], r["opened"], r["windows"], len(repeats.marked_blocks([r["body"]]))) for r in found.collect())
+    assert got == [(-1, k, True, 300, 120) for k in range(10)]
